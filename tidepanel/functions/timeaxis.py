@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DAY = 86_400
+_TO_1970 = 62_135_596_800  # seconds from year 1 to 1970
 
 # Supported frequency names and their length in seconds.
 _SECONDS = {"H": 3600, "D": 86_400, "T": 60, "15T": 900, "30T": 1800}
@@ -20,18 +21,20 @@ _CALENDAR = ("W", "M")
 
 
 def floor_div(a: Column, b: int) -> Column:
-    """Integer division rounding towards minus infinity."""
-    return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("bigint")
+    """Integer division rounding towards minus infinity, exact below 2**53.
+
+    The operand appears once: step arithmetic nests, and Catalyst would otherwise
+    work on exponentially large expressions.
+    """
+    return F.floor(a / F.lit(b))
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """Whole wall-clock seconds since 1970-01-01 00:00."""
-    return (
-        F.unix_date(ts.cast("date")).cast("bigint") * _DAY
-        + F.hour(ts) * 3600
-        + F.minute(ts) * 60
-        + F.second(ts)
-    )
+    """Whole wall-clock seconds since 1970-01-01 00:00, independent of the session zone.
+
+    Counted from year 1 because interval casts truncate towards zero.
+    """
+    return (ts - F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")).cast("bigint") - _TO_1970
 
 
 def from_epoch_seconds(seconds: Column) -> Column:

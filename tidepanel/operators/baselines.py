@@ -101,7 +101,7 @@ def baseline_predictions(
 
     ``rows`` are the complete rows of each series.  A sample at position j has the
     value h rows later as its actual, so a series of n rows has n - h samples.
-    Result: ``by..., model, season, horizon, fold, target, ts, y, yhat``.
+    Result: ``by..., model, season, horizon, fold, target, k, y, yhat``.
     """
     ranked = rows if {"rn", "n"} <= set(rows.columns) else positions(rows, by)
     n, rn, fold = F.col("n"), F.col("rn"), F.col("fold")
@@ -135,7 +135,7 @@ def baseline_predictions(
         )
     asked = actual.select(
         *by,
-        "ts",
+        "k",
         "horizon",
         "fold",
         *[F.col(t).alias(f"{t}_true") for t in targets],
@@ -145,7 +145,7 @@ def baseline_predictions(
     reach = tested + split.gap + longest + max([1, *seasons])
     near = (rn >= n - reach) | (rn < split.test_window + longest)
     found = _fetch(asked, ranked.where(near), targets, by)
-    return _melt(found, [*by, "model", "season", "horizon", "fold", "ts"], targets)
+    return _melt(found, [*by, "model", "season", "horizon", "fold", "k"], targets)
 
 
 def linear_lag_predictions(
@@ -165,12 +165,12 @@ def linear_lag_predictions(
     ranked = ranked.where(split.usable(F.col("n") - max(horizons)))
     order = within_chunk(by).orderBy("rn")
     ahead = {f"_y{h}": F.lead(target, h).over(order) for h in horizons}
-    times = {f"_t{h}": F.lead("ts", h).over(order) for h in horizons}
+    times = {f"_k{h}": F.lead("k", h).over(order) for h in horizons}
     wide = owned(
         halo(ranked, after=max(horizons), position="rn").withColumns(ahead | times), "rn"
     )
     cells = [
-        F.struct(F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y"), F.col(f"_t{h}").alias("ts"))
+        F.struct(F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y"), F.col(f"_k{h}").alias("k"))
         for h in horizons
     ]
     samples = wide.select(
@@ -217,7 +217,7 @@ def linear_lag_predictions(
         F.lit(None).cast("int").alias("season"),
         "horizon",
         "fold",
-        "ts",
+        "k",
         F.lit(target).alias("target"),
         "y",
         (F.col("intercept") + F.col("slope") * x).alias("yhat"),

@@ -114,24 +114,30 @@ def neighbours(
     The row itself counts.  The look-ahead uses a descending sort, because a frame
     that runs to the end of the partition is evaluated again for every row.
     """
+    at = {c: F.when(F.col(c).isNotNull(), F.col("k")) for c in cols}
     mark = {c: F.when(F.col(c).isNotNull(), F.struct("k", F.col(c).alias("v"))) for c in cols}
-    ahead = Window.unboundedPreceding
+    start = Window.unboundedPreceding
     across = Window.partitionBy(*by)
-    earlier = across.orderBy("chunk").rowsBetween(ahead, -1)
-    later = across.orderBy(F.desc("chunk")).rowsBetween(ahead, -1)
-    up = within_chunk(by).orderBy("k").rowsBetween(ahead, 0)
-    down = within_chunk(by).orderBy(F.desc("k")).rowsBetween(ahead, 0)
+    earlier = across.orderBy("chunk").rowsBetween(start, -1)
+    later = across.orderBy(F.desc("chunk")).rowsBetween(start, -1)
+    up = within_chunk(by).orderBy("k").rowsBetween(start, 0)
+    down = within_chunk(by).orderBy(F.desc("k")).rowsBetween(start, 0)
+
+    # position and value are separate aggregates: a struct buffer would rule out hashing
+    partial, carried, out, spent = [], [], {}, []
+
+    def carry(c: str, side: str, edge_k: Column, edge_v: Column, beyond, local, name: str):
+        partial.extend([edge_k.alias(f"{c}__k_{side}"), edge_v.alias(f"{c}__v_{side}")])
+        here = F.struct(F.col(f"{c}__k_{side}").alias("k"), F.col(f"{c}__v_{side}").alias("v"))
+        here = F.when(F.col(f"{c}__k_{side}").isNotNull(), here)
+        carried.append(F.last(here, True).over(beyond).alias(f"{c}__{side}"))
+        out[name] = F.coalesce(F.last(mark[c], True).over(local), F.col(f"{c}__{side}"))
+        spent.append(f"{c}__{side}")
 
-    partial, carried, out = [], [], {}
     for c in cols:
         if previous:
-            partial.append(F.max(mark[c]).alias(f"{c}__tail"))
-            carried.append(F.last(f"{c}__tail", True).over(earlier).alias(f"{c}__in"))
-            out[f"{c}__prev"] = F.coalesce(F.last(mark[c], True).over(up), F.col(f"{c}__in"))
+            carry(c, "tail", F.max(at[c]), F.max_by(c, at[c]), earlier, up, f"{c}__prev")
         if following:
-            partial.append(F.min(mark[c]).alias(f"{c}__head"))
-            carried.append(F.last(f"{c}__head", True).over(later).alias(f"{c}__out"))
-            out[f"{c}__next"] = F.coalesce(F.last(mark[c], True).over(down), F.col(f"{c}__out"))
+            carry(c, "head", F.min(at[c]), F.min_by(c, at[c]), later, down, f"{c}__next")
     edge = df.groupBy(*by, "chunk").agg(*partial).select(*by, "chunk", *carried)
-    spent = [f"{c}__{side}" for c in cols for side in ("in", "out")]
     return attach(df, edge, by).withColumns(out).drop(*spent)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.timeaxis import calendar_columns
+from tidepanel.functions.timeaxis import Frequency, calendar_columns, frequency
 from tidepanel.operators.chunks import (
     SERIES,
     attach,
@@ -59,17 +59,24 @@ def rolling_features(
     return owned(halo(df, before=max(windows)).withColumns(cells))
 
 
-def calendar_features(df: DataFrame) -> DataFrame:
-    return df.withColumns(calendar_columns(F.col("ts")))
+def calendar_features(df: DataFrame, freq: str | Frequency = "H") -> DataFrame:
+    return df.withColumns(calendar_columns(frequency(freq).stamp(F.col("k"))))
 
 
-def _mean_std(values: Column, n: int) -> tuple[Column, Column]:
-    zero = F.lit(0.0)
-    mean = F.aggregate(values, zero, lambda acc, x: acc + x) / n
-    if n == 1:
-        return mean, F.lit(None).cast("double")
-    spread = F.aggregate(values, zero, lambda acc, x: acc + (x - mean) * (x - mean))
-    return mean, F.sqrt(spread / (n - 1))
+def _mean_std(values: Column, n: int) -> Column:
+    """``array(mean, sample deviation)`` in one pass; the lambda closes over no array."""
+
+    def update(acc: Column, x: Column) -> Column:
+        mean = acc.mean + (x - acc.mean) / (acc.n + 1)
+        return F.struct(
+            (acc.n + 1).alias("n"),
+            mean.alias("mean"),
+            (acc.m2 + (x - acc.mean) * (x - mean)).alias("m2"),
+        )
+
+    zero = F.struct(*[F.lit(0.0).alias(name) for name in ("n", "mean", "m2")])
+    std = lambda acc: F.sqrt(acc.m2 / (n - 1)) if n > 1 else F.lit(None).cast("double")
+    return F.aggregate(values, zero, update, lambda acc: F.array(acc.mean, std(acc)))
 
 
 def feature_names(
@@ -101,7 +108,7 @@ def history_vector(
     for h in history.values():
         for n in windows:
             tail = F.slice(h, depth - n + 1, n)
-            blocks.append(F.array(*_mean_std(tail, n), F.array_min(tail), F.array_max(tail)))
+            blocks += [_mean_std(tail, n), F.array(F.array_min(tail), F.array_max(tail))]
     if use_time:
         blocks.append(F.array(*calendar_columns(ts).values()))
     return F.concat(*blocks)
@@ -114,8 +121,9 @@ def feature_matrix(
     use_time: bool = True,
     exog: Sequence[str] = (),
     by: Sequence[str] = SERIES,
+    freq: str | Frequency = "H",
 ) -> DataFrame:
-    """Feature array plus targets: ``by..., chunk, k, ts, P, Q, features``.
+    """Feature array plus targets: ``by..., chunk, k, P, Q, features``.
 
     Same-time values never enter the features.  Rows with a NULL in any feature
     or target are dropped: the history is complete exactly when the collected
@@ -124,17 +132,15 @@ def feature_matrix(
     cols = ["P", "Q", *[c for c in exog if c in df.columns]]
     depth = history_depth(max_lag, windows)
     frame = within_chunk(by).orderBy("k").rowsBetween(-depth, -1)
-    wide = halo(df.select(*by, "chunk", "k", "ts", *cols), before=depth)
+    wide = halo(df.select(*by, "chunk", "k", *cols), before=depth)
     wide = owned(wide.withColumns({f"{c}__hist": F.collect_list(c).over(frame) for c in cols}))
     complete = F.col("P").isNotNull() & F.col("Q").isNotNull()
     for c in cols:
         complete = complete & (F.size(f"{c}__hist") == depth)
-    vector = history_vector(
-        {c: F.col(f"{c}__hist") for c in cols}, F.col("ts"), max_lag, windows, use_time
-    )
-    return wide.where(complete).select(
-        *by, "chunk", "k", "ts", "P", "Q", vector.alias("features")
-    )
+    ts = frequency(freq).stamp(F.col("k"))
+    history = {c: F.col(f"{c}__hist") for c in cols}
+    vector = history_vector(history, ts, max_lag, windows, use_time)
+    return wide.where(complete).select(*by, "chunk", "k", "P", "Q", vector.alias("features"))
 
 
 def feature_rows(
@@ -194,7 +200,7 @@ def sequence_windows(
 ) -> DataFrame:
     """Input windows of ``length`` rows and their targets, by position.
 
-    Result: ``by..., chunk, k, ts, sample, samples, x, {target}_h{h}`` where ``x``
+    Result: ``by..., chunk, k, sample, samples, x, {target}_h{h}`` where ``x``
     is an array of structs, oldest first, ``sample`` the 0-based window number and
     ``samples`` their count per series.  Incomplete rows are dropped first.
     """
@@ -214,7 +220,6 @@ def sequence_windows(
         *by,
         "chunk",
         "k",
-        "ts",
         (F.col("rn") - (length - 1)).alias("sample"),
         (F.col("n") - (length - 1) - ahead).alias("samples"),
         "x",

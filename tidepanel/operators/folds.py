@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.timeaxis import floor_div
+from tidepanel.functions.timeaxis import floor_div, frequency
 from tidepanel.operators.chunks import SERIES, positions
 
 
@@ -109,12 +109,18 @@ def series_lengths(rows: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def leak_check(assigned: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+def leak_check(
+    assigned: DataFrame, freq: str = "H", by: Sequence[str] = SERIES
+) -> DataFrame:
     """Last training and first test time of each fold, and whether they are in order."""
-    train = F.max(F.when(F.col("role") == "train", F.col("ts")))
-    test = F.min(F.when(F.col("role") == "test", F.col("ts")))
-    return (
-        assigned.groupBy(*by, "fold")
-        .agg(train.alias("train_last"), test.alias("test_first"))
-        .withColumn("in_order", F.col("train_last") < F.col("test_first"))
+    train = F.max(F.when(F.col("role") == "train", F.col("k")))
+    test = F.min(F.when(F.col("role") == "test", F.col("k")))
+    edges = assigned.groupBy(*by, "fold").agg(train.alias("_train"), test.alias("_test"))
+    stamp = frequency(freq).stamp
+    return edges.select(
+        *by,
+        "fold",
+        stamp(F.col("_train")).alias("train_last"),
+        stamp(F.col("_test")).alias("test_first"),
+        (F.col("_train") < F.col("_test")).alias("in_order"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.timeaxis import Frequency, frequency
@@ -154,7 +154,12 @@ def forecast_summary(forecast: DataFrame, by: Sequence[str] = SERIES) -> DataFra
 
 
 def head_tail(
-    rows: DataFrame, value: str, limit: int = 100, edge: int = 50, by: Sequence[str] = SERIES
+    rows: DataFrame,
+    value: str,
+    limit: int = 100,
+    edge: int = 50,
+    freq: str | Frequency = "H",
+    by: Sequence[str] = SERIES,
 ) -> DataFrame:
     """Whole series up to ``limit`` rows, else its first and last ``edge`` rows, formatted."""
     ranked = positions(rows, by) if "rn" not in rows.columns else rows
@@ -162,17 +167,6 @@ def head_tail(
     shown = ranked.where((n <= limit) | (rn < edge) | (rn >= n - edge))
     return shown.select(
         *by,
-        F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"),
+        F.date_format(frequency(freq).stamp(F.col("k")), "yyyy-MM-dd HH:mm").alias("time"),
         F.round(value, 2).alias("value"),
     )
-
-
-def short_positions(forecast: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """``rn`` and ``n`` for a forecast table, whose series have a fixed number of steps."""
-    w = Window.partitionBy(*by)
-    return forecast.withColumns(
-        {
-            "rn": (F.col("step") - 1).cast("bigint"),
-            "n": F.count(F.lit(1)).over(w),
-        }
-    )

@@ -28,40 +28,56 @@ def regular_grid(
     """One row per step from the first to the last step of each series.
 
     Steps without a row get NULLs, rows off the grid are dropped and a repeated
-    timestamp raises.  Result: ``by..., chunk, k, ts, cols...`` where ``k`` is the
-    step number.  The spine is exploded chunk by chunk after the shuffle, so a
-    long series never sits in one array or one task.
+    timestamp raises.  Result: ``by..., chunk, k, cols...`` where ``k`` is the step
+    number; ``with_time`` turns it into a timestamp.  A panel that already has ``k``
+    is taken to be on the grid.
+
+    Data rows and one row per chunk meet in a single shuffle on ``(series, chunk)``.
+    The chunk rows are exploded into steps behind it, so a long series never sits
+    in one array or one task, and all later per-chunk work needs no other shuffle.
     """
     freq = frequency(freq)
     size = chunk_rows(panel.sparkSession)
-    rows = panel.select(*by, "ts", *cols).withColumn("k", freq.index(F.col("ts")))
+    rows, on_grid = panel, F.lit(True)
+    if "k" not in panel.columns:
+        rows, on_grid = panel.withColumn("k", freq.index(F.col("ts"))), freq.on_grid(F.col("ts"))
     span = rows.groupBy(*by).agg(F.min("k").alias("_a"), F.max("k").alias("_b"))
-    steps = F.sequence(
-        F.greatest("_a", F.col("chunk") * size),
-        F.least(F.col("_b"), F.col("chunk") * size + (size - 1)),
+    first, last = chunk_of(panel, F.col("_a")), chunk_of(panel, F.col("_b"))
+    spine = span.withColumn("chunk", F.explode(F.sequence(first, last))).select(
+        *by,
+        "chunk",
+        F.greatest("_a", F.col("chunk") * size).alias("_from"),
+        F.least("_b", F.col("chunk") * size + (size - 1)).alias("_to"),
+        F.lit(0).alias("_found"),
+        *[F.lit(None).cast(panel.schema[c].dataType).alias(c) for c in cols],
     )
-    spine = (
-        span.withColumn(
-            "chunk", F.explode(F.sequence(chunk_of(panel, F.col("_a")), chunk_of(panel, F.col("_b"))))
-        )
-        .repartition(*by, "chunk")
-        .select(*by, "chunk", F.explode(steps).alias("k"))
+    found = rows.where(on_grid).select(
+        *by,
+        chunk_of(panel, F.col("k")).alias("chunk"),
+        F.col("k").alias("_from"),
+        F.col("k").alias("_to"),
+        F.lit(1).alias("_found"),
+        *cols,
     )
-    again = F.lag("k").over(within_chunk(by).orderBy("k")) == F.col("k")
-    found = (
-        rows.where(freq.on_grid(F.col("ts")))
-        .withColumn("chunk", chunk_of(panel, F.col("k")))
+    steps = (
+        found.unionByName(spine)
         .repartition(*by, "chunk")
-        .withColumn(
-            "k",
-            F.when(again, F.raise_error(F.lit("duplicate timestamps in a series")).cast("bigint"))
-            .otherwise(F.col("k")),
-        )
-        .drop("ts")
+        .select(*by, "chunk", F.explode(F.sequence("_from", "_to")).alias("k"), "_found", *cols)
     )
-    return spine.join(found, [*by, "chunk", "k"], "left").select(
-        *by, "chunk", "k", freq.stamp(F.col("k")).alias("ts"), *cols
+    cells = steps.groupBy(*by, "chunk", "k").agg(
+        F.sum("_found").alias("_found"), *[F.max(c).alias(c) for c in cols]
     )
+    known = F.lit(True)
+    for c in (*by, "chunk", "k"):
+        known = known & F.col(c).isNotNull()
+    repeated = F.raise_error(F.lit("duplicate timestamps in a series")).cast("boolean")
+    single = F.when(F.col("_found") > 1, repeated).otherwise(F.lit(True))
+    return cells.where(known & single).drop("_found")
+
+
+def with_time(df: DataFrame, freq: str | Frequency = "H") -> DataFrame:
+    """Add ``ts``, the timestamp of step ``k``."""
+    return df.withColumn("ts", frequency(freq).stamp(F.col("k")))
 
 
 def coverage(panel: DataFrame, freq: str = "H", by: Sequence[str] = SERIES) -> DataFrame:
@@ -150,7 +166,7 @@ def missing_map(
         F.struct(F.lit(c).alias("column"), F.col(c).isNull().cast("int").alias("is_missing"))
         for c in cols
     ]
-    return grid.select(*by, "ts", F.inline(F.array(*flags)))
+    return grid.select(*by, "k", F.inline(F.array(*flags)))
 
 
 def nonfinite_counts(
@@ -165,12 +181,13 @@ def nonfinite_counts(
 
 def series_extent(grid: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """First step ``k0`` and number of steps ``steps`` per series, at chunk grain."""
-    return series_totals(
+    edge = series_totals(
         grid,
         {"_lo": F.min("k"), "_hi": F.max("k")},
-        {"k0": F.min("_lo"), "steps": F.max("_hi") - F.min("_lo") + 1},
+        {"k0": F.min("_lo"), "_last": F.max("_hi")},
         by,
     )
+    return edge.withColumn("steps", F.col("_last") - F.col("k0") + 1).drop("_last")
 
 
 def lagged_cells(df: DataFrame, cols: Sequence[str], steps: int, by: Sequence[str] = SERIES):

@@ -265,6 +265,6 @@ def impute_each(
     for method in methods:
         filled = impute(grid, method, cols, by, keep_raw, **(options or {}).get(method, {}))
         raw = [f"{c}_raw" for c in cols] if keep_raw else []
-        tagged = filled.select(F.lit(method).alias("strategy"), *by, "chunk", "k", "ts", *cols, *raw)
+        tagged = filled.select(F.lit(method).alias("strategy"), *by, "chunk", "k", *cols, *raw)
         out = tagged if out is None else out.unionByName(tagged)
     return out

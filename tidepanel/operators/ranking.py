@@ -64,21 +64,22 @@ def best_per_horizon(results: DataFrame, names: Sequence[str] = DEFAULT_METRICS)
 def best_model(results: DataFrame, metric: str = "RMSE") -> DataFrame:
     """Best model per horizon and overall (mean of the horizon means); names break ties.
 
-    Result: ``target, scope, horizon, model, value``; ``horizon`` is NULL overall.
+    Result: ``target, horizon, model, value``; ``horizon`` is text, ``"all"`` overall.
     """
-    mean = metrics_agg(results, [metric]).withColumnRenamed(metric, "value")
-    name = F.lit(metric.upper())
-
-    def pick(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        best = F.min(F.struct(_cost(name, F.col("value")).alias("cost"), "model", "value"))
-        return df.groupBy(*by).agg(best.alias("b"))
-
-    overall = pick(mean.groupBy("target", "model").agg(F.avg("value").alias("value")), ["target"])
-    per_horizon = pick(mean, ["target", "horizon"])
-    shape = ["b.model", "b.value"]
-    return overall.select(
-        "target", F.lit("overall").alias("scope"), F.lit(None).cast("int").alias("horizon"), *shape
-    ).unionByName(per_horizon.select("target", F.lit("horizon").alias("scope"), "horizon", *shape))
+    mean = metrics_agg(results, [metric]).select(
+        "target", "model", F.col("horizon").cast("string").alias("horizon"), F.col(metric).alias("value")
+    )
+    # one pass over the horizon means yields both levels
+    levels = mean.groupBy("target", "model").agg(
+        F.collect_list(F.struct("horizon", "value")).alias("cells"), F.avg("value").alias("value")
+    )
+    overall = F.array(F.struct(F.lit("all").alias("horizon"), F.col("value")))
+    cells = levels.select("target", "model", F.inline(F.concat("cells", overall)))
+    cost = _cost(F.lit(metric.upper()), F.col("value"))
+    best = F.min(F.struct(cost.alias("cost"), "model", "value")).alias("b")
+    return cells.groupBy("target", "horizon").agg(best).select(
+        "target", "horizon", "b.model", "b.value"
+    )
 
 
 def recommend_model(results: DataFrame, names: Sequence[str] = DEFAULT_METRICS) -> DataFrame:

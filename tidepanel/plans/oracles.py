@@ -38,7 +38,7 @@ USERS = """panel AS (
 
 SHIP = """panel AS (
   SELECT l_returnflag AS sid, date_trunc('day', l_shipdate) AS ts,
-         round(sum(l_extendedprice), 2) / 1000 AS P, round(sum(l_quantity), 0) AS Q,
+         round(sum(l_quantity), 0) AS P, CAST(count(*) AS DOUBLE) AS Q,
          round(sum(l_discount), 2) AS discount, round(sum(l_tax), 2) AS tax
   FROM lineitem GROUP BY 1, 2)"""
 
@@ -301,8 +301,8 @@ def matrix_sql() -> str:
                 )
     names = [x.rsplit(" AS ", 1)[1] for x in cells]
     full = " AND ".join(f"{x} IS NOT NULL" for x in ["P", "Q", *names])
-    shown = [r(x, digits=4) for x in ["P", "Q", *names]]
-    shown += [r(expr, name, 4) for name, expr in CALENDAR]
+    shown = [r(x) for x in ["P", "Q", *names]]
+    shown += [r(expr, name) for name, expr in CALENDAR]
     return f"""WITH {SHIP},
 {grid_of(cols, "1 day")},
 {interpolated(cols)},
@@ -552,9 +552,9 @@ FROM ranked WHERE n <= 100 OR rn < 50 OR rn >= n - 50"""
 QUALIFY rank() OVER (PARTITION BY target, metric, horizon ORDER BY {COST}) = 1"""
     sql["best_model"] = f"""WITH {AVERAGED}, overall AS (
   SELECT target, model, avg(RMSE) AS value FROM averaged GROUP BY ALL)
-SELECT target, 'overall' AS scope, CAST(NULL AS INTEGER) AS horizon, model, {r("value")} FROM overall
+SELECT target, 'all' AS horizon, model, {r("value")} FROM overall
 QUALIFY row_number() OVER (PARTITION BY target ORDER BY value, model) = 1
-UNION ALL (SELECT target, 'horizon', horizon, model, {r("RMSE", "value")} FROM averaged
+UNION ALL (SELECT target, CAST(horizon AS VARCHAR), model, {r("RMSE", "value")} FROM averaged
 QUALIFY row_number() OVER (PARTITION BY target, horizon ORDER BY RMSE, model) = 1)"""
     order = "list_position(['" + "', '".join(METRICS) + "'], metric)"
     sql["recommend_model"] = f"""WITH {LONG}, means AS (

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.metrics import eval_metrics
 from tidepanel.operators import baselines, features, folds, forecast, grid, impute, ranking, search
+from tidepanel.operators.chunks import positions
 from tidepanel.sources import generator, panels, readers, sinks
 from tidepanel.sources.panels import table
 from tidepanel.sources.sinks import rounded
@@ -48,11 +49,12 @@ def hourly_filled(spark, sf_dir) -> DataFrame:
 
 def sample_rows(spark, sf_dir) -> DataFrame:
     """Rows with a complete feature history: what models are trained and scored on."""
-    return features.feature_rows(hourly_filled(spark, sf_dir), DEPTH)
+    return positions(features.feature_rows(hourly_filled(spark, sf_dir), DEPTH))
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    rows = sample_rows(spark, sf_dir)
+    # every forecaster reads the samples several times: write them once
+    rows = sinks.materialize(sample_rows(spark, sf_dir), "samples")
     simple = baselines.baseline_predictions(
         rows, HORIZONS, SPLIT, (SEASON,), targets=("P", "Q")
     )
@@ -67,17 +69,22 @@ def results(spark, sf_dir) -> DataFrame:
 def filled_by(method: str) -> Query:
     def run(spark, sf_dir):
         filled = impute.impute(hourly_grid(spark, sf_dir), method, **OPTIONS.get(method, {}))
-        return rounded(filled.select("sid", "ts", "P", "Q"), 6)
+        return shown(filled, "P", "Q")
 
     return run
 
 
+def shown(df: DataFrame, *cols, freq="H", digits=6) -> DataFrame:
+    """Series, timestamp and the given columns, rounded."""
+    return rounded(grid.with_time(df, freq).select("sid", "ts", *cols), digits)
+
+
 # ---- sources ---------------------------------------------------------------------------------
 
 
 @query
 def scan_panel(spark, sf_dir):
-    return rounded(panels.shipments_daily(spark, sf_dir), 3)
+    return rounded(panels.shipments_daily(spark, sf_dir).drop("k"), 3)
 
 
 @query
@@ -182,13 +189,13 @@ def metrics_roundtrip(spark, sf_dir):
 
 @query
 def grid_asfreq(spark, sf_dir):
-    return hourly_grid(spark, sf_dir).select("sid", "ts", "P", "Q")
+    return shown(hourly_grid(spark, sf_dir), "P", "Q")
 
 
 @query
 def grid_users(spark, sf_dir):
     users = panels.events_by_user(spark, sf_dir)
-    return grid.regular_grid(users, "D").select("sid", "ts", "P", "Q")
+    return shown(grid.regular_grid(users, "D"), "P", "Q", freq="D")
 
 
 @query
@@ -208,7 +215,7 @@ def null_counts(spark, sf_dir):
 
 @query
 def missing_map(spark, sf_dir):
-    return grid.missing_map(hourly_grid(spark, sf_dir))
+    return shown(grid.missing_map(hourly_grid(spark, sf_dir)), "column", "is_missing")
 
 
 @query
@@ -247,27 +254,24 @@ for _method in STRATEGIES:
 @query
 def impute_interpolate_both(spark, sf_dir):
     filled = impute.impute(hourly_grid(spark, sf_dir), "interpolate", both=True)
-    return rounded(filled.select("sid", "ts", "P", "Q"), 6)
+    return shown(filled, "P", "Q")
 
 
 @query
 def impute_seasonal_level(spark, sf_dir):
     filled = impute.impute(hourly_grid(spark, sf_dir), "seasonal", mode="level")
-    return rounded(filled.select("sid", "ts", "P", "Q"), 6)
+    return shown(filled, "P", "Q")
 
 
 @query
 def seasonal_decompose(spark, sf_dir):
     parts = impute.seasonal_decompose(hourly_grid(spark, sf_dir), cols=("P",))
-    return rounded(
-        parts.select(
-            "sid",
-            "ts",
-            F.col("P__trend").alias("trend"),
-            F.col("P__seasonal").alias("seasonal"),
-            (F.col("P__fill") - F.col("P__trend") - F.col("P__seasonal")).alias("resid"),
-        ),
-        6,
+    resid = F.col("P__fill") - F.col("P__trend") - F.col("P__seasonal")
+    return shown(
+        parts,
+        F.col("P__trend").alias("trend"),
+        F.col("P__seasonal").alias("seasonal"),
+        resid.alias("resid"),
     )
 
 
@@ -275,7 +279,7 @@ def seasonal_decompose(spark, sf_dir):
 def impute_users(spark, sf_dir):
     users = grid.regular_grid(panels.events_by_user(spark, sf_dir), "D")
     filled = impute.impute(users, "interpolate")
-    return rounded(filled.select("sid", "ts", "P", "Q"), 6)
+    return shown(filled, "P", "Q", freq="D")
 
 
 @query
@@ -296,13 +300,13 @@ SKIP_SHORT = folds.RollingOrigin(SPLIT.test_window, SPLIT.n_splits, short="skip"
 @query
 def lag_features(spark, sf_dir):
     wide = features.lag_features(hourly_grid(spark, sf_dir), lags=(1, 2, 3, 24))
-    return wide.drop("chunk", "k")
+    return grid.with_time(wide).drop("chunk", "k")
 
 
 def _rolling(stat: str) -> Query:
     def run(spark, sf_dir):
         wide = features.rolling_features(hourly_filled(spark, sf_dir), stats=[stat])
-        return rounded(wide.drop("chunk", "k", "P", "Q"), 6)
+        return rounded(grid.with_time(wide).drop("chunk", "k", "P", "Q"), 6)
 
     return run
 
@@ -314,7 +318,7 @@ for _stat in features.ROLLING:
 @query
 def calendar_features(spark, sf_dir):
     wide = features.calendar_features(hourly_grid(spark, sf_dir))
-    return rounded(wide.drop("chunk", "k", "P", "Q"), 6)
+    return rounded(grid.with_time(wide).drop("chunk", "k", "P", "Q"), 6)
 
 
 MATRIX = {"max_lag": 3, "windows": (6, 24), "exog": ("discount", "tax")}
@@ -328,39 +332,37 @@ def shipments_filled(spark, sf_dir):
 
 @query
 def feature_matrix(spark, sf_dir):
-    wide = features.feature_matrix(shipments_filled(spark, sf_dir), **MATRIX)
+    wide = features.feature_matrix(shipments_filled(spark, sf_dir), freq="D", **MATRIX)
     names = features.feature_names(EXOG, MATRIX["max_lag"], MATRIX["windows"])
     cells = [F.col("features")[i].alias(name) for i, name in enumerate(names)]
-    return rounded(wide.select("sid", "ts", "P", "Q", *cells), 4)
+    return shown(wide, "P", "Q", *cells, freq="D")
 
 
 @query
 def sequence_windows(spark, sf_dir):
     wide = features.sequence_windows(hourly_filled(spark, sf_dir), length=6, horizons=(2,))
-    long = wide.select("sid", "ts", "P_h2", F.posexplode("x").alias("step", "x"))
-    return rounded(long.select("sid", "ts", "step", "x.P", "x.Q", F.col("P_h2").alias("y")), 6)
+    long = wide.select("sid", "k", "P_h2", F.posexplode("x").alias("step", "x"))
+    return shown(long, "step", "x.P", "x.Q", F.col("P_h2").alias("y"))
 
 
 @query
 def horizon_target(spark, sf_dir):
     out = features.horizon_targets(sample_rows(spark, sf_dir), (12,), ("P", "Q"))
-    return rounded(out.select("sid", "ts", "P", "P_h12", "Q_h12"), 6)
+    return shown(out, "P", "P_h12", "Q_h12")
 
 
 @query
 def multi_horizon_targets(spark, sf_dir):
     out = features.horizon_targets(sample_rows(spark, sf_dir), HORIZONS, ("P",))
-    return rounded(out.select("sid", "ts", *[f"P_h{h}" for h in HORIZONS]), 6)
+    return shown(out, *[f"P_h{h}" for h in HORIZONS])
 
 
 @query
 def sequence_standardize(spark, sf_dir):
-    from tidepanel.operators.chunks import positions
-
     rows = positions(features.complete_rows(hourly_filled(spark, sf_dir)))
     windows = F.col("n") - (WINDOW - 1) - 1
     scaler = features.window_scaler(rows, WINDOW, SPLIT.first_train(windows))
-    return rounded(features.standardize(rows, scaler).select("sid", "ts", "P", "Q"), 6)
+    return shown(features.standardize(rows, scaler), "P", "Q")
 
 
 # ---- folds -----------------------------------------------------------------------------------
@@ -373,7 +375,7 @@ def rolling_origin_folds(spark, sf_dir):
 
 @query
 def fold_assignment(spark, sf_dir):
-    return SPLIT.assign(sample_rows(spark, sf_dir)).select("sid", "ts", "rn", "fold", "role")
+    return shown(SPLIT.assign(sample_rows(spark, sf_dir)), "rn", "fold", "role")
 
 
 @query
@@ -446,7 +448,7 @@ def eval_baselines_textbook(spark, sf_dir):
 @query
 def ar1_direct(spark, sf_dir):
     scored = baselines.linear_lag_predictions(sample_rows(spark, sf_dir), HORIZONS, SPLIT)
-    return rounded(scored.select("sid", "horizon", "fold", "ts", "y", "yhat"), 6)
+    return shown(scored, "horizon", "fold", "y", "yhat")
 
 
 # ---- future forecast -------------------------------------------------------------------------
@@ -525,7 +527,7 @@ def metrics_long(spark, sf_dir):
 @query
 def pred_vs_actual(spark, sf_dir):
     out = ranking.pred_vs_actual(predictions(spark, sf_dir))
-    return rounded(out.drop("season"), 6)
+    return shown(out, *[c for c in out.columns if c not in ("sid", "season", "k")])
 
 
 @query

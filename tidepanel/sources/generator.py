@@ -24,7 +24,7 @@ def generate_panel(
     freq = frequency(freq)
     first = freq.index(F.lit(START).cast("timestamp_ntz"))
     steps = n_days * 86_400 // freq.seconds
-    rows = series.select("sid", (first + F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).alias("k"))
+    rows = series.select("sid", F.explode(F.sequence(first, first + (steps - 1))).alias("k"))
     rows = rows.select("sid", freq.stamp(F.col("k")).alias("ts"))
     weekend = F.when(F.weekday("ts") >= 5, F.lit(WEEKEND)).otherwise(F.lit(0.0))
     load = P_BASE + DAILY * F.sin(2 * F.pi() * F.hour("ts") / 24) + weekend
