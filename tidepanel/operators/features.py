@@ -16,6 +16,7 @@ from tidepanel.functions.timeaxis import Frequency, calendar_columns, frequency
 from tidepanel.operators.chunks import (
     SERIES,
     attach,
+    chunk_of,
     halo,
     owned,
     positions,
@@ -122,8 +123,9 @@ def feature_matrix(
     exog: Sequence[str] = (),
     by: Sequence[str] = SERIES,
     freq: str | Frequency = "H",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Feature array plus targets: ``by..., chunk, k, P, Q, features``.
+    """Feature array plus targets: ``by..., chunk, k, P, Q, keep..., features``.
 
     Same-time values never enter the features.  Rows with a NULL in any feature
     or target are dropped: the history is complete exactly when the collected
@@ -132,7 +134,7 @@ def feature_matrix(
     cols = ["P", "Q", *[c for c in exog if c in df.columns]]
     depth = history_depth(max_lag, windows)
     frame = within_chunk(by).orderBy("k").rowsBetween(-depth, -1)
-    wide = halo(df.select(*by, "chunk", "k", *cols), before=depth)
+    wide = halo(df.select(*by, "chunk", "k", *cols, *keep), before=depth)
     wide = owned(wide.withColumns({f"{c}__hist": F.collect_list(c).over(frame) for c in cols}))
     complete = F.col("P").isNotNull() & F.col("Q").isNotNull()
     for c in cols:
@@ -140,7 +142,8 @@ def feature_matrix(
     ts = frequency(freq).stamp(F.col("k"))
     history = {c: F.col(f"{c}__hist") for c in cols}
     vector = history_vector(history, ts, max_lag, windows, use_time)
-    return wide.where(complete).select(*by, "chunk", "k", "P", "Q", vector.alias("features"))
+    outputs = [*by, "chunk", "k", "P", "Q", *keep]
+    return wide.where(complete).select(*outputs, vector.alias("features"))
 
 
 def feature_rows(
@@ -190,6 +193,32 @@ def horizon_targets(
     return wide.drop("_ahead")
 
 
+def training_matrix(
+    df: DataFrame,
+    max_lag: int = 24,
+    windows: Sequence[int] = (6, 12, 24),
+    horizons: Sequence[int] = (1,),
+    targets: Sequence[str] = ("P",),
+    use_time: bool = True,
+    exog: Sequence[str] = (),
+    by: Sequence[str] = SERIES,
+    freq: str | Frequency = "H",
+) -> DataFrame:
+    """``feature_matrix`` with positions ``rn``, ``n`` and targets ``{target}_h{h}``.
+
+    The targets are found on the narrow rows and joined to the grid first; the wide
+    feature arrays are built behind the last shuffle and never move.
+    """
+    cols = ["P", "Q", *[c for c in exog if c in df.columns]]
+    rows = positions(feature_rows(df, history_depth(max_lag, windows), cols, by), by)
+    goals = ["rn", "n", *[f"{t}_h{h}" for t in targets for h in horizons]]
+    aimed = horizon_targets(rows, horizons, targets, by).select(*by, "k", *goals)
+    aimed = aimed.withColumn("chunk", chunk_of(df, F.col("k")))
+    base = df.join(aimed, [*by, "chunk", "k"], "left")
+    wide = feature_matrix(base, max_lag, windows, use_time, exog, by, freq, keep=goals)
+    return wide.where(F.col("rn").isNotNull())
+
+
 def sequence_windows(
     df: DataFrame,
     length: int = 24,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from tidepanel.operators.baselines import baseline_predictions
 from tidepanel.operators.chunks import SERIES
 from tidepanel.operators.folds import RollingOrigin
 
+log = logging.getLogger(__name__)
+
 FAILED_ERROR = 999.0
 
 
@@ -78,3 +81,41 @@ def best_trial(
         F.col("b.score").alias("score"),
         (F.col("b.score") >= pass_mark).alias("passed"),
     )
+
+
+def search_trees(
+    matrix: DataFrame,
+    trials: Sequence[Mapping[str, object]],
+    build,
+    horizon: int = 1,
+    target: str = "P",
+    split: RollingOrigin = RollingOrigin(100, 1),
+    by: Sequence[str] = SERIES,
+) -> DataFrame:
+    """Fit and score one model per parameter set on the given folds.
+
+    ``build(**params)`` makes the estimator.  A failed trial gets the worst score.
+    Result: ``trial, params, RMSE, MAE, ACC_5, ACC_10``.
+    """
+    from tidepanel.operators.learners import evaluate_trees
+
+    scored = None
+    for i, params in enumerate(trials):
+        try:
+            part, _ = evaluate_trees(matrix, {str(i): build(**params)}, horizon, [target], split, by)
+        except Exception as error:  # noqa: BLE001  a failed trial is a bad trial
+            log.warning("trial %s failed: %s", i, error)
+            continue
+        scored = part if scored is None else scored.unionByName(part)
+    spark = matrix.sparkSession
+    listed = spark.createDataFrame(
+        [(i, {k: float(v) for k, v in p.items()}) for i, p in enumerate(trials)],
+        "trial int, params map<string,double>",
+    )
+    worst = {"RMSE": FAILED_ERROR, "MAE": FAILED_ERROR, "ACC_5": 0.0, "ACC_10": 0.0}
+    if scored is None:
+        return listed.withColumns({m: F.lit(v) for m, v in worst.items()})
+    scores = eval_metrics(
+        scored.withColumn("trial", F.col("model").cast("int")), ["trial"], list(worst)
+    )
+    return listed.join(scores, "trial", "left").fillna(worst)

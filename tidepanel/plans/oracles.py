@@ -432,8 +432,8 @@ FROM every e JOIN grid g ON g.sid = e.sid AND g.ts = e.ts GROUP BY ALL"""
 SELECT g.sid, g.ts, {level} FROM grid g JOIN trended t USING (sid, ts)
 LEFT JOIN shape s ON s.sid = g.sid AND s.phase = g.rn % 24"""
     sql["seasonal_decompose"] = f"""WITH {GRID}, {seasonal_parts(("P",))}
-SELECT t.sid, t.ts, {r("P_trend", "trend")}, {r("P_seasonal", "seasonal")},
-       {r("P - P_trend - P_seasonal", "resid")}
+SELECT t.sid, t.ts, {r("P_trend", "trend", 7)}, {r("P_seasonal", "seasonal", 7)},
+       {r("P - P_trend - P_seasonal", "resid", 7)}
 FROM trended t LEFT JOIN shape s ON s.sid = t.sid AND s.phase = t.rn % 24"""
     sql["impute_users"] = (
         f"WITH {USERS}, {grid_of(step='1 day')}, {interpolated()}"

@@ -12,8 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions.metrics import eval_metrics
-from tidepanel.operators import baselines, features, folds, forecast, grid, impute, ranking, search
+from tidepanel.operators import (
+    baselines,
+    features,
+    folds,
+    forecast,
+    grid,
+    impute,
+    learners,
+    ranking,
+    search,
+)
 from tidepanel.operators.chunks import positions
+from tidepanel.plans import pipeline
 from tidepanel.sources import generator, panels, readers, sinks
 from tidepanel.sources.panels import table
 from tidepanel.sources.sinks import rounded
@@ -272,6 +283,7 @@ def seasonal_decompose(spark, sf_dir):
         F.col("P__trend").alias("trend"),
         F.col("P__seasonal").alias("seasonal"),
         resid.alias("resid"),
+        digits=7,
     )
 
 
@@ -286,7 +298,7 @@ def impute_users(spark, sf_dir):
 def strategy_compare(spark, sf_dir):
     by = ("strategy", "sid")
     every = impute.impute_each(hourly_grid(spark, sf_dir), STRATEGIES, options=OPTIONS)
-    rows = features.complete_rows(every)
+    rows = sinks.materialize(features.complete_rows(every), "strategies")
     scored = baselines.baseline_predictions(rows, (1,), SKIP_SHORT, (SEASON,), by=by)
     return rounded(eval_metrics(scored, by=("strategy", "model", "horizon", "fold", "target")), 6)
 
@@ -570,3 +582,112 @@ ONE_FOLD = folds.RollingOrigin(100, 1)
 def best_trial(spark, sf_dir):
     trials = search.search_seasonal_length(sample_rows(spark, sf_dir), SEASONS, split=ONE_FOLD)
     return rounded(search.best_trial(trials, "season"), 6)
+
+
+# ---- learned forecasters ---------------------------------------------------------------------
+
+TREE_LAGS, TREE_WINDOWS = 24, (6, 24)
+TREE_SPLIT = folds.RollingOrigin(100, 1)
+
+
+def _matrix(spark, sf_dir, targets=("P",)) -> DataFrame:
+    filled = hourly_filled(spark, sf_dir)
+    wide = features.training_matrix(filled, TREE_LAGS, TREE_WINDOWS, (1,), targets)
+    return sinks.materialize(wide, "matrix")
+
+
+def _forest():
+    return learners.random_forest(20, 3, minInstancesPerNode=10)
+
+
+def _boosted():
+    return learners.boosted_trees(5, 2, 0.3, subsamplingRate=0.5)
+
+
+def _trees(spark, sf_dir, estimators, targets=("P",)):
+    matrix = _matrix(spark, sf_dir, targets)
+    return learners.evaluate_trees(matrix, estimators, 1, targets, TREE_SPLIT)
+
+
+@query
+def rf_forecast(spark, sf_dir):
+    return _trees(spark, sf_dir, {learners.RANDOM_FOREST: _forest()})[0]
+
+
+@query
+def gbt_forecast(spark, sf_dir):
+    return _trees(spark, sf_dir, {learners.BOOSTED: _boosted()})[0]
+
+
+@query
+def multi_target(spark, sf_dir):
+    scored, _ = _trees(spark, sf_dir, {learners.RANDOM_FOREST: _forest()}, ("P", "Q"))
+    return eval_metrics(scored)
+
+
+@query
+def feature_importance(spark, sf_dir):
+    _, models = _trees(spark, sf_dir, {learners.RANDOM_FOREST: _forest()}, ("P", "Q"))
+    names = learners.matrix_names(TREE_LAGS, TREE_WINDOWS)
+    return learners.feature_importance(list(models.values()), names, top=20)
+
+
+@query
+def eval_trees(spark, sf_dir):
+    both = {learners.RANDOM_FOREST: _forest(), learners.BOOSTED: _boosted()}
+    return eval_metrics(_trees(spark, sf_dir, both)[0])
+
+
+def _sequences(strategy: str) -> Query:
+    def run(spark, sf_dir):
+        scored, _ = learners.evaluate_sequences(
+            hourly_filled(spark, sf_dir), WINDOW, (1, 12), strategy, split=TREE_SPLIT
+        )
+        return eval_metrics(scored)
+
+    return run
+
+
+QUERIES["seq_direct"] = _sequences("direct")
+QUERIES["seq_multi_output"] = _sequences("multi_output")
+
+
+@query
+def run_evaluation(spark, sf_dir):
+    run = pipeline.Evaluation(
+        horizons=(1,),
+        split=TREE_SPLIT,
+        max_lag=TREE_LAGS,
+        windows=TREE_WINDOWS,
+        trees={learners.RANDOM_FOREST: _forest()},
+    )
+    return pipeline.run_evaluation(hourly_filled(spark, sf_dir), run)
+
+
+@query
+def model_reload_eval(spark, sf_dir):
+    filled = hourly_filled(spark, sf_dir)
+    scored, models = learners.evaluate_sequences(filled, WINDOW, (1,), split=TREE_SPLIT)
+    path = sinks.scratch_path(spark, "model")
+    sinks.save_model(models["P", 1], path, ranking.model_metadata(eval_metrics(scored)))
+    windows = learners.window_vectors(features.sequence_windows(filled, WINDOW, (1,)))
+    tested = windows.where(TREE_SPLIT.test_fold(F.col("sample"), F.col("samples")) == 0)
+    rows = learners.labelled(tested, "P", 1)
+    again = learners.predict(sinks.load_model(path), rows, "LinearWindow", "P", 1, 0)
+    return eval_metrics(again).join(sinks.load_metadata(spark, path), "model")
+
+
+@query
+def recursive_tree(spark, sf_dir):
+    filled = hourly_filled(spark, sf_dir)
+    _, models = _trees(spark, sf_dir, {learners.RANDOM_FOREST: _forest()})
+    model = models[learners.RANDOM_FOREST, "P"]
+    return learners.recursive_tree(filled, model, 24, TREE_LAGS, TREE_WINDOWS)
+
+
+@query
+def search_trees(spark, sf_dir):
+    trials = [{"n_estimators": n, "max_depth": d} for n in (5, 10) for d in (2, 4)]
+    return search.search_trees(
+        _matrix(spark, sf_dir), trials, learners.random_forest, split=TREE_SPLIT
+    )
