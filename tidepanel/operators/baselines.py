@@ -167,7 +167,7 @@ def linear_lag_predictions(
     ahead = {f"_y{h}": F.lead(target, h).over(order) for h in horizons}
     times = {f"_k{h}": F.lead("k", h).over(order) for h in horizons}
     wide = owned(
-        halo(ranked, after=max(horizons), position="rn").withColumns(ahead | times), "rn"
+        halo(ranked, after=max(horizons), position="rn", by=by).withColumns(ahead | times), "rn"
     )
     cells = [
         F.struct(F.lit(h).alias("horizon"), F.col(f"_y{h}").alias("y"), F.col(f"_k{h}").alias("k"))

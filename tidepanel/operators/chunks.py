@@ -32,6 +32,10 @@ def chunk_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(CHUNK_CONF, str(DEFAULT_CHUNK_ROWS)))
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def chunk_of(df: DataFrame, position: Column) -> Column:
     return floor_div(position, chunk_rows(df.sparkSession))
 
@@ -68,14 +72,22 @@ def spread(df: DataFrame, per_series: DataFrame, by: Sequence[str] = SERIES) ->
 
 
 def halo(
-    df: DataFrame, before: int = 0, after: int = 0, position: str = "k"
+    df: DataFrame,
+    before: int = 0,
+    after: int = 0,
+    position: str = "k",
+    by: Sequence[str] = SERIES,
 ) -> DataFrame:
-    """Copy rows into every chunk whose rows look at most ``before`` back or ``after`` ahead."""
+    """Copy rows into every chunk whose rows look at most ``before`` back or ``after`` ahead.
+
+    The rows are then shuffled by ``(series, chunk)`` into the session's number of
+    partitions: window frames cost far more time than bytes, so adaptive coalescing
+    by size would leave cores idle.
+    """
     here = F.col(position)
-    if not before and not after:
-        return df.withColumn("chunk", chunk_of(df, here))
     first, last = chunk_of(df, here - after), chunk_of(df, here + before)
-    return df.withColumn("chunk", F.explode(F.sequence(first, last)))
+    copied = df.withColumn("chunk", F.explode(F.sequence(first, last)))
+    return copied.repartition(shuffle_partitions(df.sparkSession), *by, "chunk")
 
 
 def owned(df: DataFrame, position: str = "k") -> DataFrame:
@@ -108,14 +120,16 @@ def neighbours(
     by: Sequence[str] = SERIES,
     previous: bool = True,
     following: bool = True,
+    extent: bool = False,
 ) -> DataFrame:
-    """Add ``{c}__prev`` and ``{c}__next``: the nearest valid ``struct(k, v)`` on each side.
+    """Nearest valid value on each side and its step; the row itself counts.
 
-    The row itself counts.  The look-ahead uses a descending sort, because a frame
-    that runs to the end of the partition is evaluated again for every row.
+    Adds ``{c}__prev_k``, ``{c}__prev_v``, ``{c}__next_k`` and ``{c}__next_v``, with
+    ``extent`` also the series' first step ``k0`` and its length ``steps``.  The
+    look-ahead uses a descending sort, because a frame that runs to the end of the
+    partition is evaluated again for every row.  Steps and values are separate
+    primitive columns, which aggregate much faster than structs.
     """
-    at = {c: F.when(F.col(c).isNotNull(), F.col("k")) for c in cols}
-    mark = {c: F.when(F.col(c).isNotNull(), F.struct("k", F.col(c).alias("v"))) for c in cols}
     start = Window.unboundedPreceding
     across = Window.partitionBy(*by)
     earlier = across.orderBy("chunk").rowsBetween(start, -1)
@@ -123,21 +137,25 @@ def neighbours(
     up = within_chunk(by).orderBy("k").rowsBetween(start, 0)
     down = within_chunk(by).orderBy(F.desc("k")).rowsBetween(start, 0)
 
-    # position and value are separate aggregates: a struct buffer would rule out hashing
-    partial, carried, out, spent = [], [], {}, []
-
-    def carry(c: str, side: str, edge_k: Column, edge_v: Column, beyond, local, name: str):
-        partial.extend([edge_k.alias(f"{c}__k_{side}"), edge_v.alias(f"{c}__v_{side}")])
-        here = F.struct(F.col(f"{c}__k_{side}").alias("k"), F.col(f"{c}__v_{side}").alias("v"))
-        here = F.when(F.col(f"{c}__k_{side}").isNotNull(), here)
-        carried.append(F.last(here, True).over(beyond).alias(f"{c}__{side}"))
-        out[name] = F.coalesce(F.last(mark[c], True).over(local), F.col(f"{c}__{side}"))
-        spent.append(f"{c}__{side}")
-
+    partial, carried, out = [], [], {}
     for c in cols:
+        at = F.when(F.col(c).isNotNull(), F.col("k"))
+        sides = []
         if previous:
-            carry(c, "tail", F.max(at[c]), F.max_by(c, at[c]), earlier, up, f"{c}__prev")
+            partial += [F.max(at).alias(f"{c}__tail_k"), F.max_by(c, at).alias(f"{c}__tail_v")]
+            sides.append(("prev", "tail", earlier, up))
         if following:
-            carry(c, "head", F.min(at[c]), F.min_by(c, at[c]), later, down, f"{c}__next")
-    edge = df.groupBy(*by, "chunk").agg(*partial).select(*by, "chunk", *carried)
-    return attach(df, edge, by).withColumns(out).drop(*spent)
+            partial += [F.min(at).alias(f"{c}__head_k"), F.min_by(c, at).alias(f"{c}__head_v")]
+            sides.append(("next", "head", later, down))
+        for side, edge, beyond, local in sides:
+            for part, value in (("k", at), ("v", F.col(c))):
+                inner = F.last(value, True).over(local)
+                carried.append(F.last(f"{c}__{edge}_{part}", True).over(beyond).alias(f"{c}__{edge}_{part}"))
+                out[f"{c}__{side}_{part}"] = F.coalesce(inner, F.col(f"{c}__{edge}_{part}"))
+    if extent:
+        partial += [F.min("k").alias("_lo"), F.max("k").alias("_hi")]
+        low, high = F.min("_lo").over(across), F.max("_hi").over(across)
+        carried += [low.alias("k0"), (high - low + 1).alias("steps")]
+    edges = df.groupBy(*by, "chunk").agg(*partial).select(*by, "chunk", *carried)
+    spent = [f"{c}__{edge}_{part}" for c in cols for edge in ("tail", "head") for part in "kv"]
+    return attach(df, edges, by).withColumns(out).drop(*spent)

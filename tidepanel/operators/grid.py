@@ -14,7 +14,7 @@ from tidepanel.operators.chunks import (
     chunk_rows,
     halo,
     owned,
-    series_totals,
+    shuffle_partitions,
     within_chunk,
 )
 
@@ -35,6 +35,8 @@ def regular_grid(
     Data rows and one row per chunk meet in a single shuffle on ``(series, chunk)``.
     The chunk rows are exploded into steps behind it, so a long series never sits
     in one array or one task, and all later per-chunk work needs no other shuffle.
+    The number of partitions is given, because rows multiply behind the shuffle and
+    adaptive coalescing would judge them by their size before it.
     """
     freq = frequency(freq)
     size = chunk_rows(panel.sparkSession)
@@ -61,7 +63,7 @@ def regular_grid(
     )
     steps = (
         found.unionByName(spine)
-        .repartition(*by, "chunk")
+        .repartition(shuffle_partitions(panel.sparkSession), *by, "chunk")
         .select(*by, "chunk", F.explode(F.sequence("_from", "_to")).alias("k"), "_found", *cols)
     )
     cells = steps.groupBy(*by, "chunk", "k").agg(
@@ -179,19 +181,8 @@ def nonfinite_counts(
     )
 
 
-def series_extent(grid: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """First step ``k0`` and number of steps ``steps`` per series, at chunk grain."""
-    edge = series_totals(
-        grid,
-        {"_lo": F.min("k"), "_hi": F.max("k")},
-        {"k0": F.min("_lo"), "_last": F.max("_hi")},
-        by,
-    )
-    return edge.withColumn("steps", F.col("_last") - F.col("k0") + 1).drop("_last")
-
-
 def lagged_cells(df: DataFrame, cols: Sequence[str], steps: int, by: Sequence[str] = SERIES):
     """``{c}__lag``: the value ``steps`` grid steps earlier."""
     w = within_chunk(by).orderBy("k")
-    wide = halo(df, before=steps).withColumns({f"{c}__lag": F.lag(c, steps).over(w) for c in cols})
+    wide = halo(df, before=steps, by=by).withColumns({f"{c}__lag": F.lag(c, steps).over(w) for c in cols})
     return owned(wide)

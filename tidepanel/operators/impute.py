@@ -23,7 +23,7 @@ from tidepanel.operators.chunks import (
     spread,
     within_chunk,
 )
-from tidepanel.operators.grid import lagged_cells, series_extent
+from tidepanel.operators.grid import lagged_cells
 from tidepanel.operators.median import exact_median
 
 
@@ -31,16 +31,20 @@ def _replace(df: DataFrame, filled: dict[str, Column], spent: Sequence[str]) ->
     return df.withColumns(filled).drop(*spent)
 
 
+def _sides(cols: Sequence[str]) -> list[str]:
+    return [f"{c}__{side}_{part}" for c in cols for side in ("prev", "next") for part in "kv"]
+
+
 def impute_forward(df, cols=("P", "Q"), by=SERIES, limit: int | None = None) -> DataFrame:
     """Last valid value; leading NULLs stay."""
     wide = neighbours(df, cols, by, following=False)
     filled = {}
     for c in cols:
-        value = F.col(f"{c}__prev.v")
+        value = F.col(f"{c}__prev_v")
         if limit is not None:
-            value = F.when(F.col("k") - F.col(f"{c}__prev.k") <= limit, value)
+            value = F.when(F.col("k") - F.col(f"{c}__prev_k") <= limit, value)
         filled[c] = F.coalesce(c, value)
-    return _replace(wide, filled, [f"{c}__prev" for c in cols])
+    return _replace(wide, filled, _sides(cols))
 
 
 def impute_backward(df, cols=("P", "Q"), by=SERIES, limit: int | None = None) -> DataFrame:
@@ -48,19 +52,18 @@ def impute_backward(df, cols=("P", "Q"), by=SERIES, limit: int | None = None) ->
     wide = neighbours(df, cols, by, previous=False)
     filled = {}
     for c in cols:
-        value = F.col(f"{c}__next.v")
+        value = F.col(f"{c}__next_v")
         if limit is not None:
-            value = F.when(F.col(f"{c}__next.k") - F.col("k") <= limit, value)
+            value = F.when(F.col(f"{c}__next_k") - F.col("k") <= limit, value)
         filled[c] = F.coalesce(c, value)
-    return _replace(wide, filled, [f"{c}__next" for c in cols])
+    return _replace(wide, filled, _sides(cols))
 
 
 def _between(c: str, both: bool) -> Column:
-    prev, nxt = F.col(f"{c}__prev"), F.col(f"{c}__next")
-    share = (F.col("k") - prev.k) / (nxt.k - prev.k)
-    line = F.when(nxt.k > prev.k, prev.v + (nxt.v - prev.v) * share)
-    options = [F.col(c), line, prev.v] + ([nxt.v] if both else [])
-    return F.coalesce(*options)
+    low, high = F.col(f"{c}__prev_k"), F.col(f"{c}__next_k")
+    left, right = F.col(f"{c}__prev_v"), F.col(f"{c}__next_v")
+    line = F.when(high > low, left + (right - left) * ((F.col("k") - low) / (high - low)))
+    return F.coalesce(F.col(c), line, left, *([right] if both else []))
 
 
 def impute_interpolate(
@@ -75,12 +78,12 @@ def impute_interpolate(
     for c in cols:
         value = _between(c, both)
         if limit is not None:
-            near = F.col("k") - F.col(f"{c}__prev.k") <= limit
+            near = F.col("k") - F.col(f"{c}__prev_k") <= limit
             if both:
-                near = near | (F.col(f"{c}__next.k") - F.col("k") <= limit)
+                near = near | (F.col(f"{c}__next_k") - F.col("k") <= limit)
             value = F.coalesce(F.col(c), F.when(near, value))
         filled[c] = value
-    return _replace(wide, filled, [f"{c}__{side}" for c in cols for side in ("prev", "next")])
+    return _replace(wide, filled, _sides(cols))
 
 
 def impute_mean(df, cols=("P", "Q"), by=SERIES) -> DataFrame:
@@ -130,13 +133,8 @@ def seasonal_decompose(
     ``{c}__seasonal`` (mean detrended value per phase, centred), and ``steps``.
     Series shorter than two periods get no trend and no seasonal part.
     """
-    wide = neighbours(df, cols, by)
-    wide = _replace(
-        wide,
-        {f"{c}__fill": _between(c, both=True) for c in cols},
-        [f"{c}__{side}" for c in cols for side in ("prev", "next")],
-    )
-    wide = attach(wide, series_extent(df, by), by)
+    wide = neighbours(df, cols, by, extent=True)
+    wide = _replace(wide, {f"{c}__fill": _between(c, both=True) for c in cols}, _sides(cols))
 
     half = period // 2
     order = within_chunk(by).orderBy("k")
@@ -149,28 +147,27 @@ def seasonal_decompose(
             total = total - (F.lag(x, half).over(order) + F.lead(x, half).over(order)) / 2
         full = (F.count(x).over(frame) == 2 * half + 1) & (F.col("steps") >= 2 * period)
         trend[f"{c}__trend"] = F.when(full, total / period)
-    rows = owned(halo(wide, half, half).withColumns(trend))
+    rows = owned(halo(wide, half, half, by=by).withColumns(trend))
 
     phase = F.pmod(F.col("k") - F.col("k0"), F.lit(period)).cast("int")
+    # the observed cells are counted too: a shape needs some, and with the measure
+    # itself in use this branch reads the same shuffle as the rows do
     per_phase = rows.groupBy(*by, phase.alias("phase")).agg(
-        *[F.avg(F.col(f"{c}__fill") - F.col(f"{c}__trend")).alias(c) for c in cols]
+        *[F.avg(F.col(f"{c}__fill") - F.col(f"{c}__trend")).alias(c) for c in cols],
+        *[F.count(c).alias(f"{c}__seen") for c in cols],
     )
     # one row per series holding `period` phase means per column
     shapes = per_phase.groupBy(*by).agg(
-        *[
-            F.map_from_entries(F.collect_list(F.struct("phase", F.col(c).alias("m")))).alias(
-                f"{c}__shape"
-            )
-            for c in cols
-        ],
-        *[F.avg(c).alias(f"{c}__level") for c in cols],
+        *[F.sort_array(F.collect_list(F.struct("phase", F.col(c).alias("m")))).alias(f"{c}__shape") for c in cols],
+        *[F.when(F.sum(f"{c}__seen") > 0, F.avg(c)).alias(f"{c}__level") for c in cols],
     )
+    shapes = shapes.withColumns({f"{c}__shape": F.col(f"{c}__shape.m") for c in cols})
+    per_chunk = df.select(*by, "chunk").distinct().join(shapes, list(by))
     seasonal = {
-        f"{c}__seasonal": F.try_element_at(f"{c}__shape", phase) - F.col(f"{c}__level")
-        for c in cols
+        f"{c}__seasonal": F.get(f"{c}__shape", phase) - F.col(f"{c}__level") for c in cols
     }
     spent = [f"{c}__{x}" for c in cols for x in ("shape", "level")]
-    return _replace(spread(rows, shapes, by), seasonal, [*spent, "k0"])
+    return _replace(attach(rows, per_chunk, by), seasonal, [*spent, "k0"])
 
 
 def impute_seasonal(
