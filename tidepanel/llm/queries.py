@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import mixing, sharding
+from tidepanel.llm import decontaminate, lines, mixing, sharding
 from tidepanel.llm.common import table
 
 QUERIES = {}
@@ -37,3 +37,26 @@ def op7_mixing(spark, sf_dir):
     return documents.select(
         F.col("key").alias("doc_id"), "size", "source_size", "target", "taken"
     )
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        F.col("key").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    documents, _ = decontaminate.decontaminate(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return documents.select(
+        F.col("row_key").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
