@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, lines, mixing, sharding, simhash
+from tidepanel.llm import decontaminate, lines, mixing, repeats, sharding, simhash
 from tidepanel.llm.common import table
 
 QUERIES = {}
@@ -70,3 +70,15 @@ def op9_simhash(spark, sf_dir):
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("doc").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
