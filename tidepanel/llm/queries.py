@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, lines, mixing, repeats, sharding, simhash
+from tidepanel.llm import decontaminate, lines, mixing, quality, repeats, sharding, simhash
 from tidepanel.llm.common import table
 
 QUERIES = {}
@@ -15,6 +15,21 @@ def query(fn):
     return fn
 
 
+ACCEPT = 0.3
+
+
+@query
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        F.col("key").alias("doc_id"),
+        quality.held_out(F.col("key")).alias("held_out"),
+        "score",
+        (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_sharding(spark, sf_dir):
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
