@@ -46,4 +46,53 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op6_line_dedup": LINES, "op8_decontamination": LEAKS}
+NEAREST = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.v, v.v) AS BIGINT) AS score
+  FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+again AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM windows)
+  WHERE nth > 1),
+edges AS (
+  SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, TRUE) AS opens
+  FROM again),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges)
+  GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t FROM runs
+  UNION ALL
+  SELECT d.doc_id, coalesce(max(b), 0), max(length(h)) // 2
+  FROM d LEFT JOIN runs USING (doc_id) GROUP BY d.doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f, t) AS k
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, length(h) // 2 - length(k) // 2 AS n_removed,
+       (SELECT count(*) FROM runs r WHERE r.doc_id = d.doc_id) AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op3_voronoi_topk": NEAREST,
+    "op4_suffix_dedup": REPEATS,
+    "op6_line_dedup": LINES,
+    "op8_decontamination": LEAKS,
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, lines, mixing, quality, repeats, sharding, simhash
+from tidepanel.llm import decontaminate, lines, mixing, quality, repeats, sharding, simhash, topk
 from tidepanel.llm.common import table
 
 QUERIES = {}
@@ -97,3 +97,8 @@ def op4_suffix_dedup(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op3_voronoi_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
