@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.llm import decontaminate, lines, mixing, quality, repeats, sharding, simhash, topk
+from tidepanel.llm import (
+    decontaminate,
+    licenses,
+    lines,
+    mixing,
+    quality,
+    repeats,
+    secretscan,
+    sharding,
+    simhash,
+    topk,
+)
 from tidepanel.llm.common import table
 
 QUERIES = {}
@@ -102,3 +113,22 @@ def op4_suffix_dedup(spark, sf_dir):
 @query
 def op3_voronoi_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_licenses(spark, sf_dir):
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.templates(spark))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query
+def op10_secrets(spark, sf_dir):
+    found = secretscan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "word",
+        "nth",
+        F.length("value").alias("chars"),
+        F.sha2("value", 256).alias("value_sha256"),
+        F.round("score", 6).alias("score"),
+    )
