@@ -233,16 +233,24 @@ def fit(
     )
 
 
-def score(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, score`` of every row; the score is that of label 1."""
-    rows = docs.select(F.col(key).alias("key"), text_of(text).cast("binary").alias("body"))
-    kind = rows.schema["key"].dataType.simpleString()
+def score(
+    docs: DataFrame, model: AttentionModel, text: str = "text", name: str = "score"
+) -> DataFrame:
+    """The rows with all their columns and a last one, the score of label 1, under ``name``."""
+    rows = docs.withColumn(name, text_of(text).cast("binary"))  # the texts, until scored
+    schema = docs.drop(name).schema.add(name, "double")
 
     def scan(batches):
         for batch in batches:
-            bodies = batch.column(1).to_pylist()
+            at = batch.schema.get_field_index(name)
+            bodies = batch.column(at).to_pylist()
             for low, high in chunks(bodies):
                 p = model.score(*passages(bodies[low:high]))
-                yield pa.record_batch([batch.column(0)[low:high], pa.array(p)], names=["key", "score"])
+                part = batch.slice(low, high - low)
+                others = [i for i in range(part.num_columns) if i != at]
+                yield pa.record_batch(
+                    [*(part.column(i) for i in others), pa.array(p)],
+                    names=[*(part.schema.names[i] for i in others), name],
+                )
 
-    return rows.mapInArrow(scan, f"key {kind}, score double")
+    return rows.mapInArrow(scan, schema)

@@ -33,9 +33,9 @@ ACCEPT = 0.3
 def op1_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select(
-        F.col("key").alias("doc_id"),
-        quality.held_out(F.col("key")).alias("held_out"),
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
     )

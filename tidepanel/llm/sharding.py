@@ -26,10 +26,14 @@ SLOTS = 4096
 OVERHEAD = 8
 
 
-def records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One narrow row per record: ``key, size, text_crc32, content``."""
+def records(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False
+) -> DataFrame:
+    """One row per record: ``key, size, text_crc32, content``; with ``carry`` also ``row``, all its columns."""
     body = text_of(text)
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     return docs.select(
+        *whole,
         F.col(key).alias("key"),
         (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
@@ -37,12 +41,14 @@ def records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
-def with_slots(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """Adds ``virtual_slot``; copies of one text that outweigh half a shard are salted by key."""
+def heavy_contents(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """``content, pieces``: texts whose copies outweigh half a shard, and the slots they are spread over.
+
+    At most ``2 * shards`` texts can be this heavy.
+    """
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
     half_share = max(total // (2 * shards), 1)
-    # at most 2 * shards groups can be this large: a proven bound for the broadcast
-    heavy = (
+    return (
         rows.groupBy("content")
         .agg(F.sum("size").alias("bytes"))
         .where(F.col("bytes") > half_share)
@@ -53,6 +59,10 @@ def with_slots(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
             .alias("pieces"),
         )
     )
+
+
+def with_slots(rows: DataFrame, heavy: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Adds ``virtual_slot``; copies of heavy texts are salted by key."""
     salt = F.pmod(F.xxhash64(F.lit(3), F.col("key"), "text_crc32"), F.col("pieces"))
     place = digest(F.col("content"), 2) + F.coalesce(salt, F.lit(0))
     return (
@@ -218,14 +228,17 @@ def shard_documents(
     key: str = "doc_id",
     text: str = "text",
     map_path: str | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """``key, size, text_crc32, content, virtual_slot, map_version, shard, slot`` of every record.
 
+    With ``carry`` each record's own columns come along as the struct ``row``.
     With ``map_path`` the newest map stored there is used, and where there is none
     yet the first version is stored; otherwise a new map serves this call alone.
     """
     rows = materialize(records(docs, key, text), "shard-records")
-    slotted = with_slots(rows, shards, slots)
+    heavy = materialize(heavy_contents(rows, shards, slots), "heavy-contents")
+    slotted = with_slots(rows, heavy, slots)
     sizes = slot_bytes(slotted, slots)
     if map_path is None:
         slot_map = materialize(new_map(sizes, shards), "slot-map")
@@ -235,6 +248,8 @@ def shard_documents(
         if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
             store_map(new_map(sizes, shards), map_path)
         slot_map = load_map(spark, map_path)
+    if carry:
+        slotted = with_slots(records(docs, key, text, carry), heavy, slots)
     # the map has exactly ``slots`` rows
     mapped = slotted.join(F.broadcast(slot_map), "virtual_slot")
     return places(mapped, rows.count(), shards)
