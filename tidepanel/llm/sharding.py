@@ -130,11 +130,13 @@ def new_map(sizes: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
+def rebalance(
+    current: DataFrame, sizes: DataFrame, shards: int, tolerance: float = 0.01
+) -> DataFrame:
     """The next version of a map after sizes changed or shards were added.
 
-    A slot leaves its shard only while that shard holds more than the mean and the
-    move lowers the larger of the two loads; every other slot stays where it is.
+    A slot leaves its shard only while that shard exceeds the mean by over ``tolerance``
+    of it and the move lowers the larger of the two loads; every other slot stays.
     """
     joined = current.join(sizes, "virtual_slot", "left").fillna(0, ["bytes"])
     gathered = joined.agg(
@@ -161,7 +163,7 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
         low = _lightest(acc["loads"])
         here = F.element_at(acc["loads"], x["at"] + 1)
         there = F.array_min(acc["loads"])
-        better = (here > mean) & (there - x["less"] < here)
+        better = (here > mean * (1 + tolerance)) & (there - x["less"] < here)
         shard = F.when(better, low).otherwise(x["at"])
         return F.struct(
             _add(_add(acc["loads"], x["at"], x["less"]), shard, -x["less"]).alias("loads"),
