@@ -115,7 +115,7 @@ def test_day_copy_does_not_cascade(spark):
     values = [float(i) for i in range(24 * 3)]
     values[30] = None  # its donor is row 6
     values[54] = None  # its donor is row 30, missing itself
-    got = filled(spark, "day_copy", values, days_back=1)
+    got = filled(spark, "day_copy", values, days_back=1, freq="H")
     assert got[30] == 6 and got[54] is None
 
 
@@ -163,8 +163,9 @@ def test_present_values_never_change_and_series_do_not_mix(spark):
     a, b = ragged(spark, seed=1), ragged(spark, n=23, seed=2)
     both = gridded(spark, a=a, b=b)
     for method in impute.METHODS:
-        out = impute.impute(both, method)
-        alone = impute.impute(gridded(spark, b=b), method)
+        options = {"freq": "H"} if method == "day_copy" else {}
+        out = impute.impute(both, method, **options)
+        alone = impute.impute(gridded(spark, b=b), method, **options)
         assert column(out, sid="b") == column(alone, sid="b")
         for before, after in zip(a, column(out)):
             assert before is None or before == after
@@ -176,7 +177,8 @@ def test_chunk_size_does_not_matter(spark, method):
     out = []
     for size in ("3", "7", "1000"):
         spark.conf.set("tidepanel.chunkRows", size)
-        got = impute.impute(grid.regular_grid(df), method, **({"period": 6} if method == "seasonal" else {}))
+        options = {"seasonal": {"period": 6}, "day_copy": {"freq": "H"}}.get(method, {})
+        got = impute.impute(grid.regular_grid(df), method, **options)
         out.append(column(got) + column(got, "Q", "b"))
     assert np.allclose(np.array(out[0], float), np.array(out[1], float), equal_nan=True)
     assert np.allclose(np.array(out[0], float), np.array(out[2], float), equal_nan=True)

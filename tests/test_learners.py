@@ -78,8 +78,8 @@ def test_failed_trial_scores_worst(matrix):
     trials = [{"n_estimators": 3}, {"n_estimators": -1}]
     out = search.search_trees(matrix, trials, learners.random_forest, split=SPLIT)
     rows = {r.trial: r for r in out.collect()}
-    assert rows[1].RMSE == search.FAILED_ERROR and rows[1].ACC_10 == 0.0
-    assert rows[0].RMSE < search.FAILED_ERROR
+    assert rows[1].RMSE is None and rows[1].failed and rows[1].ACC_10 == 0.0
+    assert rows[0].RMSE > 0 and not rows[0].failed
 
 
 def test_random_space_stays_in_range(session):

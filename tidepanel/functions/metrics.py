@@ -30,7 +30,8 @@ def smape(y: Column, yhat: Column) -> Column:
 
 
 def wape(y: Column, yhat: Column) -> Column:
-    return 100 * F.sum(_gap(y, yhat)) / (F.sum(F.abs(y)) + EPS)
+    scored = F.when(yhat.isNotNull(), F.abs(y))  # rows without a prediction count on neither side
+    return 100 * F.sum(_gap(y, yhat)) / (F.sum(scored) + EPS)
 
 
 def acc(threshold: float) -> Callable[[Column, Column], Column]:

@@ -157,7 +157,7 @@ def linear_lag_predictions(
 ) -> DataFrame:
     """Least squares of ``y(t+h)`` on ``y(t)`` per series, horizon and fold.
 
-    The training parts are nested, so every sample is counted once in the first
+    A series that is constant in training predicts its mean.  The training parts are nested, so every sample is counted once in the first
     fold that trains on it and the folds are running sums over at most
     ``n_splits`` rows per series.  Result as ``baseline_predictions``.
     """
@@ -184,32 +184,44 @@ def linear_lag_predictions(
         F.col("fold") < split.n_splits
     )
     x, y = F.col("x"), F.col("y")
-    sums = train.groupBy(*by, "horizon", "fold").agg(
+    moments = train.groupBy(*by, "horizon", "fold").agg(
         F.count(F.lit(1)).cast("double").alias("m"),
-        F.sum(x).alias("sx"),
-        F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(x * y).alias("sxy"),
+        F.avg(x).alias("mx"),
+        F.avg(y).alias("my"),
+        F.var_pop(x).alias("vx"),
+        F.covar_pop(x, y).alias("vxy"),
     )
     upto = (
         Window.partitionBy(*by, "horizon")
         .orderBy("fold")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    parts = ["m", "sx", "sy", "sxx", "sxy"]
+    # sums about the first fold's means: a high level of the series does not cancel digits
+    m, dx, dy = F.col("m"), F.col("mx") - F.col("cx"), F.col("my") - F.col("cy")
+    parts = {
+        "m": m,
+        "sx": m * dx,
+        "sy": m * dy,
+        "sxx": m * (F.col("vx") + dx * dx),
+        "sxy": m * (F.col("vxy") + dx * dy),
+    }
+    sums = moments.withColumns(
+        {"cx": F.first("mx").over(upto), "cy": F.first("my").over(upto)}
+    ).withColumns(parts)
     sums = sums.withColumns({p: F.sum(p).over(upto) for p in parts})
-    slope = F.try_divide(
-        F.col("m") * F.col("sxy") - F.col("sx") * F.col("sy"),
-        F.col("m") * F.col("sxx") - F.col("sx") * F.col("sx"),
+    spread = F.col("m") * F.col("sxx") - F.col("sx") * F.col("sx")
+    flat = spread <= F.pow(F.col("m") * F.abs("cx") * 1e-13, 2)  # constant but for rounding
+    slope = F.when(flat, F.lit(0.0)).otherwise(
+        F.try_divide(F.col("m") * F.col("sxy") - F.col("sx") * F.col("sy"), spread)
     )
-    fitted = sums.select(*by, "horizon", "fold", slope.alias("slope"), *parts).withColumn(
-        "intercept", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("m")
+    fitted = sums.withColumn("slope", slope).withColumn(
+        "level", F.col("cy") + (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("m")
     )
     test = samples.withColumn("fold", split.test_fold(F.col("rn"), count)).where(
         F.col("fold").isNotNull()
     )
     scored = test.join(
-        fitted.select(*by, "horizon", "fold", "slope", "intercept"), [*by, "horizon", "fold"]
+        fitted.select(*by, "horizon", "fold", "slope", "level", "cx"), [*by, "horizon", "fold"]
     )
     return scored.select(
         *by,
@@ -220,5 +232,5 @@ def linear_lag_predictions(
         "k",
         F.lit(target).alias("target"),
         "y",
-        (F.col("intercept") + F.col("slope") * x).alias("yhat"),
+        (F.col("level") + F.col("slope") * (x - F.col("cx"))).alias("yhat"),
     )

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.numbers import normal, rounded
 from tidepanel.functions.timeaxis import Frequency, frequency
 from tidepanel.operators.chunks import SERIES, positions
 
@@ -44,23 +45,44 @@ def last_step(grid: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
 
 
 def recent_history(
-    rows: DataFrame, length: int, cols: Sequence[str] = ("P", "Q"), by: Sequence[str] = SERIES
+    rows: DataFrame,
+    length: int,
+    cols: Sequence[str] = ("P", "Q"),
+    by: Sequence[str] = SERIES,
+    short: str = "error",
 ) -> DataFrame:
     """One row per series with its last ``length`` rows: ``by..., k, {c}_hist`` oldest first.
 
-    Series with fewer rows are dropped.  Each chunk passes on at most ``length``
-    rows, so a series never meets in one task whole.
+    ``short`` says what happens to a series with fewer rows: ``"error"`` raises,
+    ``"null"`` keeps it with NULL histories (its forecast is NULL at every step),
+    ``"skip"`` leaves it out.
     """
+    if short not in ("error", "null", "skip"):
+        raise ValueError("short must be 'error', 'null' or 'skip'")
     ranked = positions(rows, by).where(F.col("rn") >= F.col("n") - length)
     packed = ranked.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("k", *cols))).alias("_h"), F.max("k").alias("k")
     )
-    return packed.where(F.size("_h") == length).select(
-        *by, "k", *[F.col(f"_h.{c}").alias(f"{c}_hist") for c in cols]
+    enough = F.size("_h") == length
+    if short == "error":
+        message = F.format_string(
+            f"Series too short: need {length} rows, got %s", F.size("_h").cast("string")
+        )
+        packed = packed.where(
+            F.when(enough, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+        )
+    elif short == "skip":
+        packed = packed.where(enough)
+    return packed.select(
+        *by, "k", *[F.when(enough, F.col(f"_h.{c}")).alias(f"{c}_hist") for c in cols]
     )
 
 
-def _unroll(df: DataFrame, path: Column, freq: Frequency, by: Sequence[str]) -> DataFrame:
+def _unroll(
+    df: DataFrame, path: Column, steps: int, freq: Frequency, by: Sequence[str]
+) -> DataFrame:
+    nothing = F.array_repeat(F.lit(None).cast("double"), steps)
+    path = F.when(F.col("P_hist").isNull(), nothing).otherwise(path)
     out = df.select(*by, "k", F.posexplode(path).alias("_i", "yhat"))
     step = F.col("_i") + 1
     return out.select(
@@ -89,22 +111,16 @@ def recursive_linear(
     constant = F.lit(float(intercept))
     for c, w in (frozen or {}).items():
         constant = constant + F.element_at(f"{c}_hist", -1) * w
-    start = F.struct(
-        F.slice("P_hist", -length, length).alias("window"),
-        F.array().cast("array<double>").alias("path"),
-    )
+    start = F.slice("P_hist", -length, length)
 
-    def advance(state: Column, _: Column) -> Column:
-        terms = F.zip_with(state.window, coef, lambda x, w: x * w)
-        value = F.aggregate(terms, constant, lambda acc, x: acc + x)
-        return F.struct(
-            F.concat(F.slice(state.window, 2, length - 1), F.array(value)).alias("window"),
-            F.concat(state.path, F.array(value)).alias("path"),
-        )
+    def advance(values: Column, _: Column) -> Column:
+        terms = F.zip_with(F.slice(values, -length, length), coef, lambda x, w: x * w)
+        return F.concat(values, F.array(F.aggregate(terms, constant, lambda acc, x: acc + x)))
 
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance, lambda s: s.path)
-    out = _unroll(history, path, frequency(freq), by)
-    return out.withColumn("yhat", F.round("yhat", 2))
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance)
+    path = F.slice(grown, length + 1, steps)
+    out = _unroll(history, path, steps, frequency(freq), by)
+    return out.withColumn("yhat", rounded("yhat", 2))
 
 
 def mean_reverting(
@@ -126,17 +142,48 @@ def mean_reverting(
     df = history.withColumn("_mean", mean)
     square = lambda acc, x: acc + (x - F.col("_mean")) * (x - F.col("_mean"))
     std = F.sqrt(F.aggregate("P_hist", zero, square) / n)
-    shocks = [F.randn(seed + i) if noise else zero for i in range(max(steps - 1, 0))]
+    shocks = [
+        normal(seed + i, *by, "k") if noise else zero for i in range(max(steps - 1, 0))
+    ]
     scale = std * (0.1 * noise)
-    # materialised before the fold: random values must not be drawn again per use
     df = df.withColumn("_shock", F.array(*[s * scale for s in shocks]).cast("array<double>"))
-    first = F.round(F.element_at("P_hist", -1), 2)
+    first = rounded(F.element_at("P_hist", -1), 2)
 
     def advance(path: Column, shock: Column) -> Column:
         value = F.element_at(path, -1) * 0.7 + F.col("_mean") * 0.3 + shock
-        return F.concat(path, F.array(F.round(value, 2)))
+        return F.concat(path, F.array(rounded(value, 2)))
+
+    return _unroll(df, F.aggregate("_shock", F.array(first), advance), steps, frequency(freq), by)
+
 
-    return _unroll(df, F.aggregate("_shock", F.array(first), advance), frequency(freq), by)
+def over_range(
+    history: DataFrame,
+    roll,
+    start: str,
+    end: str,
+    freq: str | Frequency = "H",
+    by: Sequence[str] = SERIES,
+    **options,
+) -> DataFrame:
+    """A forecaster's steps from the date ``start`` to the end of the date ``end``.
+
+    ``roll(history, steps, freq=..., by=...)`` rolls from the end of each series; what
+    lies before ``start`` is forecast but not shown.  ``gap`` is the number of steps
+    between the series' last row and ``start``.  Result: ``by..., gap, step, ts, yhat``.
+    """
+    freq = frequency(freq)
+    day = lambda text: F.lit(text).cast("date").cast("timestamp_ntz")
+    first = freq.index(day(start))
+    stop = freq.index(F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+    reach = history.agg(F.max(stop - F.col("k") - 1).alias("steps")).first()["steps"]
+    rolled = roll(history, max(int(reach or 0), 1), freq=freq, by=by, **options)
+    gap = history.select(*by, (first - F.col("k") - 1).alias("gap"))
+    at = freq.index(F.col("ts"))
+    return (
+        rolled.where((at >= first) & (at < stop))
+        .join(gap, list(by))
+        .select(*by, "gap", "step", "ts", "yhat")
+    )
 
 
 def forecast_summary(forecast: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
@@ -168,5 +215,5 @@ def head_tail(
     return shown.select(
         *by,
         F.date_format(frequency(freq).stamp(F.col("k")), "yyyy-MM-dd HH:mm").alias("time"),
-        F.round(value, 2).alias("value"),
+        rounded(value, 2).alias("value"),
     )

@@ -24,11 +24,13 @@ def regular_grid(
     freq: str | Frequency = "H",
     cols: Sequence[str] = ("P", "Q"),
     by: Sequence[str] = SERIES,
+    latest_by: str | None = None,
 ) -> DataFrame:
     """One row per step from the first to the last step of each series.
 
-    Steps without a row get NULLs, rows off the grid are dropped and a repeated
-    timestamp raises.  Result: ``by..., chunk, k, cols...`` where ``k`` is the step
+    Steps without a row get NULLs and rows off the grid are dropped.  A row without
+    series key or timestamp raises.  A repeated timestamp raises as well, unless
+    ``latest_by`` names a column: then the row with its largest value counts.  Result: ``by..., chunk, k, cols...`` where ``k`` is the step
     number; ``with_time`` turns it into a timestamp.  A panel that already has ``k``
     is taken to be on the grid.
 
@@ -43,6 +45,15 @@ def regular_grid(
     rows, on_grid = panel, F.lit(True)
     if "k" not in panel.columns:
         rows, on_grid = panel.withColumn("k", freq.index(F.col("ts"))), freq.on_grid(F.col("ts"))
+    known = F.lit(True)
+    for c in (*by, "k"):
+        known = known & F.col(c).isNotNull()
+    unknown = F.raise_error(F.lit("NULL series key or timestamp")).cast("boolean")
+    rows = rows.where(F.when(known, F.lit(True)).otherwise(unknown))
+    if latest_by is not None:
+        kept = F.max_by(F.struct(*cols), F.col(latest_by)).alias("_kept")
+        rows = rows.where(on_grid).groupBy(*by, "k").agg(kept).select(*by, "k", "_kept.*")
+        on_grid = F.lit(True)
     span = rows.groupBy(*by).agg(F.min("k").alias("_a"), F.max("k").alias("_b"))
     first, last = chunk_of(panel, F.col("_a")), chunk_of(panel, F.col("_b"))
     spine = span.withColumn("chunk", F.explode(F.sequence(first, last))).select(
@@ -69,12 +80,9 @@ def regular_grid(
     cells = steps.groupBy(*by, "chunk", "k").agg(
         F.sum("_found").alias("_found"), *[F.max(c).alias(c) for c in cols]
     )
-    known = F.lit(True)
-    for c in (*by, "chunk", "k"):
-        known = known & F.col(c).isNotNull()
     repeated = F.raise_error(F.lit("duplicate timestamps in a series")).cast("boolean")
     single = F.when(F.col("_found") > 1, repeated).otherwise(F.lit(True))
-    return cells.where(known & single).drop("_found")
+    return cells.where(single).drop("_found")
 
 
 def with_time(df: DataFrame, freq: str | Frequency = "H") -> DataFrame:

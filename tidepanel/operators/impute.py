@@ -104,8 +104,11 @@ def impute_median(df, cols=("P", "Q"), by=SERIES) -> DataFrame:
     return _replace(wide, filled, [f"{c}__median" for c in cols])
 
 
-def impute_day_copy(df, cols=("P", "Q"), by=SERIES, days_back: int = 7, freq="H") -> DataFrame:
-    """Value of the same clock time ``days_back`` days earlier, taken from the input only."""
+def impute_day_copy(df, cols=("P", "Q"), by=SERIES, days_back: int = 7, *, freq) -> DataFrame:
+    """Value of the same clock time ``days_back`` days earlier, taken from the input only.
+
+    ``freq`` is that of the grid: a number of days is so many steps of it.
+    """
     wide = lagged_cells(df, cols, frequency(freq).steps_per_days(days_back), by)
     filled = {c: F.coalesce(c, f"{c}__lag") for c in cols}
     return _replace(wide, filled, [f"{c}__lag" for c in cols])

@@ -15,6 +15,11 @@ def _cost(metric: Column, value: Column) -> Column:
     return F.when(metric.isin(*HIGHER_IS_BETTER), -value).otherwise(value)
 
 
+def _scored(df: DataFrame) -> DataFrame:
+    """Rows that have a score: a model without one is never the best."""
+    return df.where(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
 def metrics_agg(
     results: DataFrame,
     names: Sequence[str] = DEFAULT_METRICS,
@@ -48,7 +53,7 @@ def metrics_pivot(
 
 def best_per_horizon(results: DataFrame, names: Sequence[str] = DEFAULT_METRICS) -> DataFrame:
     """Every best cell (ties included) per target, metric and horizon, shown with 4 decimals."""
-    long = metrics_long(results, names)
+    long = _scored(metrics_long(results, names))
     w = Window.partitionBy("target", "metric", "horizon").orderBy(
         _cost(F.col("metric"), F.col("value"))
     )
@@ -66,8 +71,13 @@ def best_model(results: DataFrame, metric: str = "RMSE") -> DataFrame:
 
     Result: ``target, horizon, model, value``; ``horizon`` is text, ``"all"`` overall.
     """
-    mean = metrics_agg(results, [metric]).select(
-        "target", "model", F.col("horizon").cast("string").alias("horizon"), F.col(metric).alias("value")
+    mean = _scored(
+        metrics_agg(results, [metric]).select(
+            "target",
+            "model",
+            F.col("horizon").cast("string").alias("horizon"),
+            F.col(metric).alias("value"),
+        )
     )
     # one pass over the horizon means yields both levels
     levels = mean.groupBy("target", "model").agg(
@@ -87,7 +97,7 @@ def recommend_model(results: DataFrame, names: Sequence[str] = DEFAULT_METRICS)
 
     Result: ``target, model, votes``.
     """
-    means = metrics_long(results, names).groupBy("target", "metric", "model")
+    means = _scored(metrics_long(results, names)).groupBy("target", "metric", "model")
     means = means.agg(F.avg("value").alias("value"))
     cost = _cost(F.col("metric"), F.col("value"))
     winners = means.groupBy("target", "metric").agg(

@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.metrics import eval_metrics
+from tidepanel.functions.numbers import uniform as draw
 from tidepanel.operators.baselines import baseline_predictions
 from tidepanel.operators.chunks import SERIES
 from tidepanel.operators.folds import RollingOrigin
 
 log = logging.getLogger(__name__)
 
-FAILED_ERROR = 999.0
-
 
 def grid_space(
     base: DataFrame, values: Mapping[str, Sequence], constraint: Column | None = None
@@ -28,12 +27,14 @@ def grid_space(
     return out if constraint is None else out.where(constraint)
 
 
-def uniform(low: float, high: float, seed: int) -> Column:
-    return F.lit(low) + F.rand(seed) * (high - low)
+def uniform(low: float, high: float, seed: int, keys: Sequence[str] = ("trial",)) -> Column:
+    """Draw per row of ``keys``, whatever the partitions."""
+    return F.lit(low) + draw(seed, *keys) * (high - low)
 
 
-def log_uniform(low: float, high: float, seed: int) -> Column:
-    return F.exp(uniform(0.0, 1.0, seed) * (F.log(F.lit(high)) - F.log(F.lit(low))) + F.log(F.lit(low)))
+def log_uniform(low: float, high: float, seed: int, keys: Sequence[str] = ("trial",)) -> Column:
+    span = F.log(F.lit(high)) - F.log(F.lit(low))
+    return F.exp(uniform(0.0, 1.0, seed, keys) * span + F.log(F.lit(low)))
 
 
 def random_space(
@@ -46,7 +47,7 @@ def random_space(
     """``trials`` random draws per row of ``base``: list choices and continuous ranges."""
     out = base.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     for i, (name, options) in enumerate((choices or {}).items()):
-        at = F.floor(F.rand(seed + i) * len(options)).cast("int") + 1
+        at = F.floor(draw(seed + i, *base.columns, "trial") * len(options)).cast("int") + 1
         out = out.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in options]), at))
     return out.withColumns(dict(ranges or {}))
 
@@ -94,8 +95,8 @@ def search_trees(
 ) -> DataFrame:
     """Fit and score one model per parameter set on the given folds.
 
-    ``build(**params)`` makes the estimator.  A failed trial gets the worst score.
-    Result: ``trial, params, RMSE, MAE, ACC_5, ACC_10``.
+    ``build(**params)`` makes the estimator.  A failed trial has NULL errors, accuracies
+    of 0 and ``failed``.  Result: ``trial, params, RMSE, MAE, ACC_5, ACC_10, failed``.
     """
     from tidepanel.operators.learners import evaluate_trees
 
@@ -112,10 +113,11 @@ def search_trees(
         [(i, {k: float(v) for k, v in p.items()}) for i, p in enumerate(trials)],
         "trial int, params map<string,double>",
     )
-    worst = {"RMSE": FAILED_ERROR, "MAE": FAILED_ERROR, "ACC_5": 0.0, "ACC_10": 0.0}
+    names = ["RMSE", "MAE", "ACC_5", "ACC_10"]
     if scored is None:
-        return listed.withColumns({m: F.lit(v) for m, v in worst.items()})
+        nothing = {m: F.lit(None if m in ("RMSE", "MAE") else 0.0).cast("double") for m in names}
+        return listed.withColumns(nothing | {"failed": F.lit(True)})
     scores = eval_metrics(
-        scored.withColumn("trial", F.col("model").cast("int")), ["trial"], list(worst)
-    )
-    return listed.join(scores, "trial", "left").fillna(worst)
+        scored.withColumn("trial", F.col("model").cast("int")), ["trial"], names
+    ).withColumn("failed", F.lit(False))
+    return listed.join(scores, "trial", "left").fillna({"ACC_5": 0.0, "ACC_10": 0.0, "failed": True})

@@ -12,16 +12,20 @@ EXPR = {
     "RMSE": "sqrt(avg((y - yhat) * (y - yhat)))",
     "MAE": "avg(abs(y - yhat))",
     "SMAPE": "100 * avg(abs(y - yhat) / ((abs(y) + abs(yhat)) / 2 + 1e-8))",
-    "WAPE": "100 * sum(abs(y - yhat)) / (sum(abs(y)) + 1e-8)",
+    "WAPE": "100 * sum(abs(y - yhat)) / (sum(abs(y)) FILTER (WHERE yhat IS NOT NULL) + 1e-8)",
     "ACC_5": "coalesce(100 * avg(CASE WHEN abs(y) > 1e-8 THEN CAST(abs(y - yhat) / abs(y) <= 0.05 AS INT) END), 0)",
     "ACC_10": "coalesce(100 * avg(CASE WHEN abs(y) > 1e-8 THEN CAST(abs(y - yhat) / abs(y) <= 0.1 AS INT) END), 0)",
 }
 EXPR["ACC"] = EXPR["ACC_5"]
 
 
+def exact(expr: str, digits: int) -> str:
+    return f"CAST(round(CAST({expr} AS DECIMAL(28, 12)), {digits}) AS DOUBLE)"
+
+
 def r(expr: str, name: str | None = None, digits: int = 6) -> str:
-    """Rounded column without a negative zero."""
-    return f"round({expr}, {digits}) + 0.0 AS {name or expr}"
+    """Rounded column; decimal rounding is the same in both engines."""
+    return f"{exact(expr, digits)} AS {name or expr}"
 
 
 # ---- panels and grids ------------------------------------------------------------------------
@@ -43,6 +47,12 @@ SHIP = """panel AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
+ORDERS = """panel AS (
+  SELECT 'orders' AS sid, date_trunc('day', o_orderdate) AS ts,
+         round(sum(o_totalprice), 2) AS P, CAST(count(*) AS DOUBLE) AS Q
+  FROM orders GROUP BY 2)"""
+
+
 def grid_of(cols=("P", "Q"), step="1 hour") -> str:
     return f"""grid AS (
   SELECT s.sid, s.ts, row_number() OVER (PARTITION BY s.sid ORDER BY s.ts) - 1 AS rn,
@@ -247,6 +257,25 @@ STRATEGIES = (
 )
 
 
+def compare_sql(every: str, tw: int, season: int) -> str:
+    """Scores per strategy beside the number of series that are too short."""
+    keys = "strategy, model, horizon, fold, target"
+    return f"""WITH {every},
+samples AS (
+  SELECT strategy, sid, ts, P, Q,
+         row_number() OVER (PARTITION BY strategy, sid ORDER BY ts) - 1 AS rn,
+         count(*) OVER (PARTITION BY strategy, sid) AS n
+  FROM every WHERE P IS NOT NULL AND Q IS NOT NULL),
+short AS (
+  SELECT strategy, count(*) FILTER (WHERE n - 1 < {4 * tw}) AS skipped FROM (
+    SELECT strategy, sid, count(*) FILTER (WHERE P IS NOT NULL AND Q IS NOT NULL) AS n
+    FROM every GROUP BY strategy, sid) GROUP BY strategy),
+{baseline(by="strategy, sid", horizons=(1,), tw=tw, seasons=(season,), targets=("P",))},
+{scored("simple", keys)},
+shown AS ({show("results", keys)})
+SELECT * FROM short LEFT JOIN shown USING (strategy)"""
+
+
 def with_cells(*ctes: str) -> str:
     return "WITH " + ",\n".join(c for c in ctes if c) + "\n"
 
@@ -335,9 +364,9 @@ def last_rows(length: int) -> str:
 WALK = f"""{FILLED},
 {last_rows(24)},
 walk AS (
-  SELECT sid, last_ts, 1 AS step, round(p[24], 2) AS yhat, list_avg(p) AS mu FROM recent
+  SELECT sid, last_ts, 1 AS step, {exact("p[24]", 2)} AS yhat, list_avg(p) AS mu FROM recent
   UNION ALL
-  SELECT sid, last_ts, step + 1, round(yhat * 0.7 + mu * 0.3, 2), mu FROM walk WHERE step < 72)"""
+  SELECT sid, last_ts, step + 1, {exact("yhat * 0.7 + mu * 0.3", 2)}, mu FROM walk WHERE step < 72)"""
 
 ROLL = f"""{FILLED},
 {last_rows(6)},
@@ -347,7 +376,7 @@ roll AS (
   UNION ALL
   SELECT sid, last_ts, step + 1, list_append(h[2:6], v), v, c
   FROM (SELECT *, c + h[1] * 0.05 + h[2] * 0.05 + h[3] * 0.1 + h[4] * 0.1 + h[5] * 0.2
-                    + h[6] * 0.3 AS v FROM roll WHERE step < 48))"""
+                    + h[6] * 0.3 AS v FROM roll WHERE step < 72))"""
 
 SEARCH = SAMPLES + ",\n" + baseline(
     horizons=(1,), tw=100, k=1, seasons=(12, 24, 48, 168), rule="textbook", targets=("P",), naive=False
@@ -379,7 +408,7 @@ def all_sql() -> dict[str, str]:
                  - CASE WHEN isodow(ts) >= 6 THEN 10 ELSE 0 END) AS P
           FROM (SELECT CAST(c_custkey AS VARCHAR) AS sid,
                        unnest(generate_series(TIMESTAMP '2023-01-01 00:00:00',
-                         TIMESTAMP '2023-01-02 23:00:00', INTERVAL 1 HOUR)) AS ts FROM customer))""",
+                         TIMESTAMP '2023-01-30 23:00:00', INTERVAL 1 HOUR)) AS ts FROM customer))""",
         "grid_asfreq": f"WITH {GRID} SELECT sid, ts, P, Q FROM grid",
         "grid_users": f"WITH {USERS}, {grid_of(step='1 day')} SELECT sid, ts, P, Q FROM grid",
         "coverage": f"""WITH {PANEL} SELECT sid, min(ts) AS first_ts, max(ts) AS last_ts,
@@ -439,17 +468,22 @@ FROM trended t LEFT JOIN shape s ON s.sid = t.sid AND s.phase = t.rn % 24"""
         f"WITH {USERS}, {grid_of(step='1 day')}, {interpolated()}"
         f" SELECT sid, ts, {r('P')}, {r('Q')} FROM filled"
     )
-    sql["strategy_compare"] = f"""WITH {every_strategy()},
-samples AS (
-  SELECT strategy, sid, ts, P, Q,
-         row_number() OVER (PARTITION BY strategy, sid ORDER BY ts) - 1 AS rn,
-         count(*) OVER (PARTITION BY strategy, sid) AS n
-  FROM every WHERE P IS NOT NULL AND Q IS NOT NULL),
-{baseline(by="strategy, sid", horizons=(1,), targets=("P",))},
-{scored("simple", "strategy, model, horizon, fold, target")}
-{show("results", "strategy, model, horizon, fold, target")}"""
+    sql["strategy_compare"] = compare_sql(every_strategy(), 50, 24)
+    two = f"""{USERS}, {grid_of(step='1 day')}, {method("interpolate")[0]}, every AS (
+  SELECT 'forward' AS strategy, * FROM ({method("forward")[1]})
+  UNION ALL SELECT 'interpolate', * FROM ({method("interpolate")[1]}))"""
+    sql["strategy_compare_users"] = compare_sql(two, 5, 7)
+    for name in STRATEGIES:
+        ctes, body = method(name)
+        sql[f"impute_{name}_orders"] = (
+            with_cells(ORDERS, grid_of(step="1 day"), ctes)
+            + f"SELECT sid, ts, {r('P')}, {r('Q')} FROM ({body})"
+        )
+    sql["grid_raw"] = f"""WITH panel AS (
+  SELECT event_type AS sid, date_trunc('hour', ts) AS ts, arg_max(value, event_id) AS P
+  FROM events GROUP BY 1, 2), {grid_of(("P",))} SELECT sid, ts, {r("P")} FROM grid"""
 
-    lags = [f"lag({c}, {k}) OVER o AS {c}_lag_{k}" for c in PQ for k in (1, 2, 3, 24)]
+    lags = [f"lag({c}, {k}) OVER o AS {c}_lag_{k}" for c in PQ for k in range(1, 25)]
     sql["lag_features"] = (
         f"WITH {GRID} SELECT sid, ts, P, Q, {', '.join(lags)} FROM grid"
         " WINDOW o AS (PARTITION BY sid ORDER BY rn)"
@@ -464,8 +498,8 @@ samples AS (
   SELECT sid, ts, P, Q, row_number() OVER (PARTITION BY sid ORDER BY ts) - 1 AS rn
   FROM filled WHERE P IS NOT NULL AND Q IS NOT NULL)
 SELECT a.sid, a.ts, CAST(st.step AS INTEGER) AS step, {r("x.P", "P")}, {r("x.Q", "Q")}, {r("t.P", "y")}
-FROM ranked a, (SELECT unnest(range(6)) AS step) st, ranked x, ranked t
-WHERE x.sid = a.sid AND x.rn = a.rn - 5 + st.step AND a.rn >= 5 AND t.sid = a.sid AND t.rn = a.rn + 2"""
+FROM ranked a, (SELECT unnest(range(24)) AS step) st, ranked x, ranked t
+WHERE x.sid = a.sid AND x.rn = a.rn - 23 + st.step AND a.rn >= 23 AND t.sid = a.sid AND t.rn = a.rn + 2"""
     sql["horizon_target"] = f"""WITH {SAMPLES} SELECT a.sid, a.ts, {r("a.P", "P")},
   {r("b.P", "P_h12")}, {r("b.Q", "Q_h12")}
 FROM samples a JOIN samples b ON b.sid = a.sid AND b.rn = a.rn + 12"""
@@ -530,7 +564,11 @@ FROM (SELECT sid, max(ts) AS last_ts, CAST(unnest(range(1, 73)) AS INTEGER) AS s
     )
     walk = "SELECT sid, step, last_ts + to_hours(step) AS ts, yhat FROM walk"
     sql["mean_reverting"] = f"WITH RECURSIVE {WALK} {walk}"
-    sql["write_forecast"] = sql["mean_reverting"] + " WHERE step <= 24"
+    sql["write_forecast"] = sql["mean_reverting"]
+    sql["forecast_range"] = f"""WITH RECURSIVE {WALK.replace("step < 72", "step < 400")}
+SELECT sid, date_diff('hour', last_ts, TIMESTAMP '2024-02-01') - 1 AS gap, step,
+       last_ts + to_hours(step) AS ts, yhat FROM walk
+WHERE last_ts + to_hours(step) >= TIMESTAMP '2024-02-01' AND last_ts + to_hours(step) < TIMESTAMP '2024-02-03'"""
     sql["forecast_summary"] = f"""WITH RECURSIVE {WALK} SELECT sid, min(ts) AS first_ts,
   max(ts) AS last_ts, count(yhat) AS n, {r("avg(yhat)", "mean")}, {r("median(yhat)", "median")},
   {r("stddev_samp(yhat)", "std")}, {r("min(yhat)", "min")}, {r("max(yhat)", "max")}

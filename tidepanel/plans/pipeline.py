@@ -94,14 +94,16 @@ def run_strategies(
 ) -> dict[str, str]:
     """Evaluate every imputation strategy and write its results under ``path``.
 
-    A failing strategy does not stop the others; its error is returned by name.
+    ``read_results(path)`` reads them all, with the column ``strategy``.  A failing strategy does not stop the others; its error is returned by name.
     """
     failed = {}
     for name in strategies:
         try:
-            filled = impute(grid, name, ("P", "Q", *run.exog), **(options or {}).get(name, {}))
-            results = run_evaluation(filled, run).withColumn("strategy", F.lit(name))
-            write_results(results, f"{path}/{name}", partition_by=())
+            own = {"freq": run.freq} if name == "day_copy" else {}
+            own |= (options or {}).get(name, {})
+            filled = impute(grid, name, ("P", "Q", *run.exog), **own)
+            results = run_evaluation(filled, run)
+            write_results(results, f"{path}/strategy={name}", partition_by=())
         except Exception as error:  # noqa: BLE001  strategies are independent of each other
             log.warning("strategy %s failed: %s", name, error)
             failed[name] = str(error)

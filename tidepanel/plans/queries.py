@@ -7,6 +7,7 @@ that results of two engines can be compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,9 @@ SEASON = 24
 DEPTH = 24
 TARGET_P = 60.0
 WINDOW = 24
-OPTIONS = {"nearest_p": {"target_p": TARGET_P}}
+OPTIONS = {"nearest_p": {"target_p": TARGET_P}, "day_copy": {"freq": "H"}}
 STRATEGIES = tuple(impute.METHODS)
+CHUNK_ROWS = "tidepanel.chunkRows"
 
 
 def query(fn: Query) -> Query:
@@ -47,6 +49,17 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@contextmanager
+def chunks_of(spark, rows: int):
+    """Plans built inside cut series into chunks of so many steps."""
+    before = spark.conf.get(CHUNK_ROWS, None)
+    spark.conf.set(CHUNK_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(CHUNK_ROWS) if before is None else spark.conf.set(CHUNK_ROWS, before)
+
+
 # ---- shared stages ---------------------------------------------------------------------------
 
 
@@ -177,14 +190,14 @@ def sort_time(spark, sf_dir):
 @query
 def gen_panel(spark, sf_dir):
     series = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sid"))
-    return rounded(generator.generate_panel(series, n_days=2, noise=False), 6)
+    return rounded(generator.generate_panel(series, n_days=30, noise=False), 6)
 
 
 @query
 def write_forecast(spark, sf_dir):
     history = forecast.recent_history(hourly_filled(spark, sf_dir), WINDOW)
     path = sinks.scratch_path(spark, "forecast")
-    sinks.write_forecast(forecast.mean_reverting(history, 24), path)
+    sinks.write_forecast(forecast.mean_reverting(history, 72), path)
     return sinks.read_forecast(spark, path)
 
 
@@ -296,22 +309,68 @@ def impute_users(spark, sf_dir):
 
 @query
 def strategy_compare(spark, sf_dir):
-    by = ("strategy", "sid")
     every = impute.impute_each(hourly_grid(spark, sf_dir), STRATEGIES, options=OPTIONS)
-    rows = sinks.materialize(features.complete_rows(every), "strategies")
-    scored = baselines.baseline_predictions(rows, (1,), SKIP_SHORT, (SEASON,), by=by)
-    return rounded(eval_metrics(scored, by=("strategy", "model", "horizon", "fold", "target")), 6)
+    return compared(every, SKIP_SHORT, SEASON)
+
+
+@query
+def strategy_compare_users(spark, sf_dir):
+    """Series of mixed lengths: the short ones are counted, not forgotten."""
+    users = grid.regular_grid(panels.events_by_user(spark, sf_dir), "D")
+    every = impute.impute_each(users, ("forward", "interpolate"))
+    return compared(every, folds.RollingOrigin(5, 3, short="skip"), 7)
 
 
 SKIP_SHORT = folds.RollingOrigin(SPLIT.test_window, SPLIT.n_splits, short="skip")
 
 
+def compared(every: DataFrame, split: folds.RollingOrigin, season: int) -> DataFrame:
+    """Baseline scores per strategy, and how many series were too short to be scored."""
+    every = sinks.materialize(every, "strategies")
+    rows = features.complete_rows(every)
+    scored = baselines.baseline_predictions(rows, (1,), split, (season,), by=("strategy", "sid"))
+    results = eval_metrics(scored, by=("strategy", "model", "horizon", "fold", "target"))
+    complete = F.count_if(F.col("P").isNotNull() & F.col("Q").isNotNull())
+    short = (
+        every.groupBy("strategy", "sid")
+        .agg(complete.alias("n"))
+        .groupBy("strategy")
+        .agg(F.count_if(F.col("n") - 1 < split.min_rows).alias("skipped"))
+    )
+    return rounded(short.join(results, "strategy", "left"), 6)
+
+
+# a long daily series, cut into several chunks
+def _orders(method: str) -> Query:
+    def run(spark, sf_dir):
+        with chunks_of(spark, 256):
+            daily = grid.regular_grid(panels.orders_daily(spark, sf_dir), "D")
+            options = OPTIONS.get(method, {}) | ({"freq": "D"} if method == "day_copy" else {})
+            return shown(impute.impute(daily, method, **options), "P", "Q", freq="D")
+
+    return run
+
+
+for _method in STRATEGIES:
+    QUERIES[f"impute_{_method}_orders"] = _orders(_method)
+
+
+@query
+def grid_raw(spark, sf_dir):
+    """Raw rows: off the grid, several to a step; the latest of a step counts."""
+    raw = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("sid"), "ts", F.col("value").alias("P"), "event_id"
+    )
+    hours = raw.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return shown(grid.regular_grid(hours, "H", ("P",), latest_by="event_id"), "P")
+
+
 # ---- features --------------------------------------------------------------------------------
 
 
 @query
 def lag_features(spark, sf_dir):
-    wide = features.lag_features(hourly_grid(spark, sf_dir), lags=(1, 2, 3, 24))
+    wide = features.lag_features(hourly_grid(spark, sf_dir), lags=range(1, 25))
     return grid.with_time(wide).drop("chunk", "k")
 
 
@@ -352,7 +411,7 @@ def feature_matrix(spark, sf_dir):
 
 @query
 def sequence_windows(spark, sf_dir):
-    wide = features.sequence_windows(hourly_filled(spark, sf_dir), length=6, horizons=(2,))
+    wide = features.sequence_windows(hourly_filled(spark, sf_dir), length=24, horizons=(2,))
     long = wide.select("sid", "k", "P_h2", F.posexplode("x").alias("step", "x"))
     return shown(long, "step", "x.P", "x.Q", F.col("P_h2").alias("y"))
 
@@ -478,7 +537,7 @@ def forecast_spine(spark, sf_dir):
 @query
 def recursive_linear(spark, sf_dir):
     history = forecast.recent_history(hourly_filled(spark, sf_dir), len(WEIGHTS))
-    return forecast.recursive_linear(history, WEIGHTS, 48, INTERCEPT, {"Q": Q_WEIGHT})
+    return forecast.recursive_linear(history, WEIGHTS, 72, INTERCEPT, {"Q": Q_WEIGHT})
 
 
 @query
@@ -487,6 +546,12 @@ def mean_reverting(spark, sf_dir):
     return forecast.mean_reverting(history, 72)
 
 
+@query
+def forecast_range(spark, sf_dir):
+    history = forecast.recent_history(hourly_filled(spark, sf_dir), WINDOW)
+    return forecast.over_range(history, forecast.mean_reverting, "2024-02-01", "2024-02-02")
+
+
 @query
 def forecast_summary(spark, sf_dir):
     return rounded(forecast.forecast_summary(mean_reverting(spark, sf_dir)), 6)
@@ -601,7 +666,7 @@ def _forest():
 
 
 def _boosted():
-    return learners.boosted_trees(5, 2, 0.3, subsamplingRate=0.5)
+    return learners.boosted_trees(20, 2, 0.3, subsamplingRate=0.5)
 
 
 def _trees(spark, sf_dir, estimators, targets=("P",)):

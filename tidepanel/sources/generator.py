@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.numbers import normal, uniform
 from tidepanel.functions.timeaxis import frequency
 
 # Fixed values of the load model.
@@ -19,7 +20,7 @@ def generate_panel(
 ) -> DataFrame:
     """``sid, ts, P, Q`` for every ``sid`` in ``series``.
 
-    With noise, 1 % of the rows lose P and half of those lose Q as well.
+    Noise depends on seed, series and time alone.  With noise, 1 % of the rows lose P and half of those lose Q as well.
     """
     freq = frequency(freq)
     first = freq.index(F.lit(START).cast("timestamp_ntz"))
@@ -31,9 +32,9 @@ def generate_panel(
     reactive = Q_BASE + Q_SHARE * (F.col("P") - P_BASE)
     if not noise:
         return rows.withColumn("P", F.greatest(load, F.lit(0.0))).withColumn("Q", reactive)
-    rows = rows.withColumn("P", F.greatest(load + P_NOISE * F.randn(seed), F.lit(0.0)))
-    rows = rows.withColumn("Q", reactive + Q_NOISE * F.randn(seed + 1))
-    rows = rows.withColumn("_u", F.rand(seed + 2))
+    rows = rows.withColumn("P", F.greatest(load + P_NOISE * normal(seed, "sid", "ts"), F.lit(0.0)))
+    rows = rows.withColumn("Q", reactive + Q_NOISE * normal(seed + 1, "sid", "ts"))
+    rows = rows.withColumn("_u", uniform(seed + 2, "sid", "ts"))
     return rows.select(
         "sid",
         "ts",

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tidepanel.functions import numbers
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,4 +87,4 @@ def load_metadata(spark: SparkSession, path: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     """Round every double column, for reports and comparisons."""
     doubles = [name for name, kind in df.dtypes if kind == "double"]
-    return df.withColumns({c: F.round(c, digits) for c in doubles})
+    return df.withColumns({c: numbers.rounded(c, digits) for c in doubles})
