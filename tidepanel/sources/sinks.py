@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+
 from tidepanel.functions import numbers
 
 
@@ -33,10 +35,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession):
+    """Queries that start in here give up their shuffle files when they end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write to the shared folder and read back: a lineage cut that survives lost executors."""
+    """Write to the shared folder and read back: a lineage cut that survives lost executors.
+
+    Nothing reads the shuffles again once the table stands, so they leave the disks.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    with released_shuffles(df.sparkSession):
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
