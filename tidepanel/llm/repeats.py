@@ -27,8 +27,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -271,24 +269,15 @@ def _with(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
     )
 
 
-def _release(spark) -> None:
-    """Lets Spark drop shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(
     docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``doc, n_bytes, spans, kept``: removed spans as ``start, end`` and the remaining bytes."""
-    spark = docs.sparkSession
     rows = _documents(docs, key, text)
     first = materialize(first_pass(rows, depth), "repeats-first")
-    _release(spark)
     second = materialize(
         second_pass(rows, first.where(F.col("end").isNull()), depth), "repeats-second"
     )
-    _release(spark)
     spans = (
         first.where(F.col("end").isNotNull())
         .select("doc", "tag", "start", "end")
