@@ -32,8 +32,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 128
 #: Rounds of the permutation; each sends about half of the numbers elsewhere.
 ROUNDS = 24
-#: So many slots are made from one row.
+#: So many slots are made from one row, and from so many rows in one task.
 SPAN = 4096
+SPANS_A_TASK = 16
+MOST_TASKS = 20_000
 
 
 def word_count(c: Column) -> Column:
@@ -159,7 +161,10 @@ def mix_slots(plan: DataFrame, shards: int, seed: int) -> DataFrame:
             F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SPAN).cast("long"))
         ).alias("span"),
     )
-    dealt = spans.repartition("sk", "span")
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    # a few small rows grow into much work, which their size does not tell Spark
+    tasks = min(max(-(-total // (SPAN * SPANS_A_TASK)), 1), MOST_TASKS)
+    dealt = spans.repartition(tasks, "sk", "span")
     slots = dealt.select(
         "sk", "blocks",
         F.explode(
