@@ -234,7 +234,8 @@ def mix(
             (high - low).alias("words"),
         )
     )
-    drawn = slots.groupBy("sk", "block").agg(F.count(F.lit(1)).alias("copies"))
+    # grows with the documents: never broadcast
+    drawn = slots.groupBy("sk", "block").agg(F.count(F.lit(1)).alias("copies")).hint("merge")
     taken = (
         pieces.join(drawn, ["sk", "block"])
         .groupBy("sk", "cell", "nth")
