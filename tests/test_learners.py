@@ -1,8 +1,9 @@
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tidepanel.functions.metrics import eval_metrics
-from tidepanel.operators import grid, impute, learners, ranking, search
+from tidepanel.operators import forecast, grid, impute, learners, ranking, search
 from tidepanel.operators.features import training_matrix
 from tidepanel.operators.folds import RollingOrigin
 from tidepanel.plans import pipeline
@@ -34,7 +35,9 @@ def test_whole_run_beats_naive(load, session, tmp_path):
     )
     failed = pipeline.run_strategies(load, ["forward", "spline"], run, str(tmp_path))
     assert list(failed) == ["spline"]
-    results = sinks.read_results(session, str(tmp_path / "forward"))
+    every = sinks.read_results(session, str(tmp_path))
+    results = every.where("strategy = 'forward'")
+    assert every.count() == results.count()
     rmse = {r.model: (r.RMSE, r.lead) for r in results.collect()}
     assert set(rmse) == {"Naive", "SeasonalNaive", "RandomForest", "LinearWindow"}
     for learned in ("RandomForest", "LinearWindow"):
@@ -74,6 +77,40 @@ def test_direct_uses_more_windows_than_multi_output(load):
         learners.evaluate_sequences(load, strategy="both")
 
 
+def test_fitted_window_model_rolls_forward(load, session):
+    _, models = learners.evaluate_sequences(load, 6, (1,), split=SPLIT)
+    weights, intercept = learners.window_weights(models["P", 1])
+    history = forecast.recent_history(load, 6)
+    rolled = forecast.recursive_window(history, weights, 9, intercept)
+    got = {(r.sid, r.step): r.yhat for r in rolled.collect()}
+    for row in history.collect():
+        p, q = list(row.P_hist), list(row.Q_hist)
+        for step in range(1, 10):
+            flat = [v for pair in zip(p[-6:], q[-6:]) for v in pair]
+            x = session.createDataFrame([(Vectors.dense(flat),)], ["x"])
+            value = models["P", 1].transform(x).first().yhat
+            assert got[row.sid, step] == pytest.approx(value, abs=0.0051)
+            p.append(value)
+            q.append(q[-1])
+
+
+def test_one_matrix_serves_all_horizons(load):
+    whole = training_matrix(load, 24, (6,), (1, 12), partial=True)
+    for h in (1, 12):
+        own = training_matrix(load, 24, (6,), (h,)).select("sid", "k", "rn", "n", f"P_h{h}")
+        same = whole.where(F.col(f"P_h{h}").isNotNull()).select(*own.columns)
+        assert own.exceptAll(same).count() == 0 and same.exceptAll(own).count() == 0
+
+
+def test_best_model_is_rolled_forward(load):
+    run = pipeline.Evaluation(split=SPLIT, windows=(6,))
+    rows = pipeline.best_model_forecast(load, run, 5).orderBy("sid", "step").collect()
+    assert [(r.model, r.sid, r.step) for r in rows] == [
+        ("LinearWindow", s, i) for s in "ab" for i in range(1, 6)
+    ]
+    assert all(50 < r.yhat < 150 for r in rows)
+
+
 def test_failed_trial_scores_worst(matrix):
     trials = [{"n_estimators": 3}, {"n_estimators": -1}]
     out = search.search_trees(matrix, trials, learners.random_forest, split=SPLIT)

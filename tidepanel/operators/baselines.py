@@ -60,10 +60,10 @@ def naive_forecast(
     rows: DataFrame, steps: int, targets: Sequence[str] = ("P",), by: Sequence[str] = SERIES
 ) -> DataFrame:
     """``by..., step, {target}_hat``: the last row of each series repeated ``steps`` times."""
-    ranked = positions(rows, by)
-    last = ranked.where(F.col("rn") == F.col("n") - 1)
+    # one value column each: a struct would make the aggregate sort its rows
+    last = rows.groupBy(*by).agg(*[F.max_by(t, "k").alias(f"{t}_hat") for t in targets])
     step = F.explode(F.sequence(F.lit(1), F.lit(steps)))
-    return last.select(*by, step.alias("step"), *[F.col(t).alias(f"{t}_hat") for t in targets])
+    return last.select(*by, step.alias("step"), *[f"{t}_hat" for t in targets])
 
 
 def seasonal_naive_forecast(

@@ -192,20 +192,25 @@ def horizon_targets(
     targets: Sequence[str] = ("P",),
     by: Sequence[str] = SERIES,
     contiguous: bool = False,
+    partial: bool = False,
 ) -> DataFrame:
     """``{target}_h{h}``: the value ``h`` rows later, by position among the given rows.
 
     Rows without a value at the largest horizon are dropped, so all horizons share
     one sample set.  ``contiguous`` also requires those rows to be ``h`` clock steps
-    later.
+    later.  ``partial`` keeps rows that have a value at the smallest horizon; larger
+    horizons beyond the end are NULL.
     """
+    if contiguous and partial:
+        raise ValueError("contiguous looks at the largest horizon, which partial rows lack")
     ranked = rows if {"rn", "n"} <= set(rows.columns) else positions(rows, by)
     w = within_chunk(by).orderBy("rn")
     wide = halo(ranked, after=max(horizons), position="rn", by=by).withColumns(
         {f"{t}_h{h}": F.lead(t, h).over(w) for t in targets for h in horizons}
         | {"_ahead": F.lead("k", max(horizons)).over(w)}
     )
-    wide = owned(wide, "rn").where(F.col("rn") + max(horizons) < F.col("n"))
+    needed = min(horizons) if partial else max(horizons)
+    wide = owned(wide, "rn").where(F.col("rn") + needed < F.col("n"))
     if contiguous:
         wide = wide.where(F.col("_ahead") - F.col("k") == max(horizons))
     return wide.drop("_ahead")
@@ -221,16 +226,18 @@ def training_matrix(
     exog: Sequence[str] = (),
     by: Sequence[str] = SERIES,
     freq: str | Frequency = "H",
+    partial: bool = False,
 ) -> DataFrame:
     """``feature_matrix`` with positions ``rn``, ``n`` and targets ``{target}_h{h}``.
 
+    ``partial`` as in ``horizon_targets``: one matrix then serves every horizon.
     The targets are found on the narrow rows and joined to the grid first; the wide
     feature arrays are built behind the last shuffle and never move.
     """
     cols = ["P", "Q", *[c for c in exog if c in df.columns]]
     rows = positions(feature_rows(df, history_depth(max_lag, windows), cols, by), by)
     goals = ["rn", "n", *[f"{t}_h{h}" for t in targets for h in horizons]]
-    aimed = horizon_targets(rows, horizons, targets, by).select(*by, "k", *goals)
+    aimed = horizon_targets(rows, horizons, targets, by, partial=partial).select(*by, "k", *goals)
     aimed = aimed.withColumn("chunk", chunk_of(df, F.col("k")))
     base = df.join(aimed, [*by, "chunk", "k"], "left")
     wide = feature_matrix(base, max_lag, windows, use_time, exog, by, freq, keep=goals)

@@ -6,7 +6,7 @@ one row with a short history array, and the steps are a fold over that row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +123,49 @@ def recursive_linear(
     return out.withColumn("yhat", rounded("yhat", 2))
 
 
+def recursive_window(
+    history: DataFrame,
+    weights: Mapping[str, Sequence[float]],
+    steps: int,
+    intercept: float = 0.0,
+    freq: str | Frequency = "H",
+    by: Sequence[str] = SERIES,
+) -> DataFrame:
+    """Roll a linear model over whole windows forward: ``by..., step, ts, yhat``.
+
+    ``weights`` has, for P and every other column, one weight per window row, oldest
+    first.  Each step shifts the window by one row: P enters as forecast, the other
+    columns keep their last value.  A series with NULL histories has NULL forecasts.
+    """
+    length = len(weights["P"])
+    if any(len(w) != length for w in weights.values()):
+        raise ValueError("every column needs one weight per window row")
+
+    def dot(values: Column, column: str, start: Column) -> Column:
+        coef = F.array(*[F.lit(float(w)) for w in weights[column]])
+        return F.aggregate(F.zip_with(values, coef, lambda x, w: x * w), start, lambda acc, x: acc + x)
+
+    def recent(c: str) -> Column:
+        return F.slice(f"{c}_hist", -length, length)
+
+    others = {
+        c: F.concat(recent(c), F.array_repeat(F.element_at(f"{c}_hist", -1), steps))
+        for c in weights
+        if c != "P"
+    }
+
+    def advance(values: Column, step: Column) -> Column:
+        total = F.lit(float(intercept))
+        for c, whole in others.items():
+            total = dot(F.slice(whole, step, F.lit(length)), c, total)
+        return F.concat(values, F.array(dot(F.slice(values, -length, length), "P", total)))
+
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), recent("P"), advance)
+    path = F.slice(grown, length + 1, steps)
+    out = _unroll(history, path, steps, frequency(freq), by)
+    return out.withColumn("yhat", rounded("yhat", 2))
+
+
 def mean_reverting(
     history: DataFrame,
     steps: int,

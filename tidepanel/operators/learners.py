@@ -56,6 +56,19 @@ def linear_window(reg: float = 1e-6):
     return Pipeline(stages=[scale, solve])
 
 
+def window_weights(model: PipelineModel, cols: Sequence[str] = ("P", "Q")) -> tuple[dict, float]:
+    """Weights per column, oldest window row first, and intercept of a fitted ``linear_window``.
+
+    The scaler is folded in; a position that never varied in training has weight 0.
+    """
+    scale, solve = model.stages
+    std, mean = scale.std.toArray(), scale.mean.toArray()
+    coef = solve.coefficients.toArray()
+    flat = [c / s if s > 0 else 0.0 for c, s in zip(coef, std)]
+    intercept = solve.intercept - sum(w * m for w, m in zip(flat, mean))
+    return {c: flat[i :: len(cols)] for i, c in enumerate(cols)}, float(intercept)
+
+
 def labelled(samples: DataFrame, target: str, horizon: int, vector: str = "features") -> DataFrame:
     """Add the input vector ``x`` and the label ``y`` of one target and horizon."""
     return samples.withColumns(

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.metrics import DEFAULT_METRICS, eval_metrics
+from tidepanel.functions.numbers import rounded
+from tidepanel.functions.timeaxis import frequency
 from tidepanel.operators import learners
-from tidepanel.operators.baselines import baseline_predictions
+from tidepanel.operators.baselines import (
+    baseline_predictions,
+    naive_forecast,
+    seasonal_naive_forecast,
+)
 from tidepanel.operators.chunks import SERIES, positions
 from tidepanel.operators.features import feature_rows, history_depth, training_matrix
 from tidepanel.operators.folds import RollingOrigin
+from tidepanel.operators.forecast import last_step, recent_history, recursive_window
 from tidepanel.operators.impute import impute
 from tidepanel.sources.sinks import materialize, write_results
 
@@ -45,11 +52,19 @@ class Evaluation:
 
 
 def all_predictions(df: DataFrame, run: Evaluation, by: Sequence[str] = SERIES) -> DataFrame:
-    """Out-of-fold predictions of every family for a gridded, imputed panel.
+    """Out-of-fold predictions of every family for a gridded, imputed panel."""
+    return fitted_predictions(df, run, by)[0]
+
+
+def fitted_predictions(
+    df: DataFrame, run: Evaluation, by: Sequence[str] = SERIES
+) -> tuple[DataFrame, dict[tuple[str, str, int], object]]:
+    """Predictions, and the models of the last fold by ``(name, target, horizon)``.
 
     ``lead`` is the number of rows between the newest model input and the predicted
     row: tree features stop one row earlier than sequence windows.
     """
+    models = {}
     df = materialize(df, "panel")
     keep = ["model", *by, "horizon", "fold", "target", "y", "yhat"]
     cols = ["P", "Q", *run.exog]
@@ -61,22 +76,64 @@ def all_predictions(df: DataFrame, run: Evaluation, by: Sequence[str] = SERIES)
         ).select(*keep, (F.col("horizon") + 1).alias("lead"))
     ]
     if run.trees:
+        # features are built once; a horizon's folds end before its targets do
+        matrix = training_matrix(
+            df, run.max_lag, run.windows, run.horizons, run.targets,
+            run.use_time, run.exog, by, run.freq, partial=True,
+        )
+        matrix = materialize(matrix, "matrix")
         for h in run.horizons:
-            matrix = training_matrix(
-                df, run.max_lag, run.windows, (h,), run.targets, run.use_time, run.exog, by, run.freq
-            )
-            scored, _ = learners.evaluate_trees(
-                materialize(matrix, "matrix"), run.trees, h, run.targets, run.split, by
+            scored, trees = learners.evaluate_trees(
+                matrix, run.trees, h, run.targets, run.split, by
             )
+            models |= {(*key, h): model for key, model in trees.items()}
             parts.append(scored.select(*keep, (F.col("horizon") + 1).alias("lead")))
-    scored, _ = learners.evaluate_sequences(
+    scored, linear = learners.evaluate_sequences(
         df, run.sequence_length, run.horizons, run.sequence_strategy, cols, run.targets, run.split, by
     )
+    models |= {("LinearWindow", *key): model for key, model in linear.items()}
     parts.append(scored.select(*keep, F.col("horizon").alias("lead")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out, models
+
+
+def best_model_forecast(
+    df: DataFrame, run: Evaluation, steps: int = 72, by: Sequence[str] = SERIES
+) -> DataFrame:
+    """Evaluate all families one row ahead, roll the one with the least RMSE for P forward.
+
+    Result: ``model, by..., step, ts, yhat``; the learned model is that of the last fold.
+    """
+    run = replace(run, horizons=(1,), targets=("P",))
+    scored, models = fitted_predictions(df, run, by)
+    errors = eval_metrics(scored, ("model",), ("RMSE",)).where(
+        F.col("RMSE").isNotNull() & ~F.isnan("RMSE")
+    )
+    found = errors.orderBy("RMSE", "model").first()
+    if found is None:
+        raise ValueError("no model could be scored")
+    best, freq, cols = found["model"], frequency(run.freq), ["P", "Q", *run.exog]
+    if best == "LinearWindow":
+        weights, intercept = learners.window_weights(models[best, "P", 1], cols)
+        history = recent_history(df.dropna(subset=cols), run.sequence_length, cols, by)
+        out = recursive_window(history, weights, steps, intercept, freq, by)
+    elif best in run.trees:
+        out = learners.recursive_tree(
+            df, models[best, "P", 1], steps, run.max_lag, run.windows, run.use_time, run.exog, freq, by
+        )
+    else:
+        rows = df.dropna(subset=cols)
+        if best == "Naive":
+            copied = naive_forecast(rows, steps, by=by)
+        else:
+            copied = seasonal_naive_forecast(rows, run.season, steps, rule="wrapped", by=by)
+        at = freq.stamp(F.col("k") + F.col("step"))
+        out = copied.join(last_step(rows, by), list(by)).select(
+            *by, "step", at.alias("ts"), rounded("P_hat", 2).alias("yhat")
+        )
+    return out.select(F.lit(best).alias("model"), *by, "step", "ts", "yhat")
 
 
 def run_evaluation(df: DataFrame, run: Evaluation, by: Sequence[str] = SERIES) -> DataFrame:

@@ -729,6 +729,17 @@ def run_evaluation(spark, sf_dir):
     return pipeline.run_evaluation(hourly_filled(spark, sf_dir), run)
 
 
+@query
+def best_model_forecast(spark, sf_dir):
+    run = pipeline.Evaluation(
+        split=TREE_SPLIT,
+        max_lag=TREE_LAGS,
+        windows=TREE_WINDOWS,
+        trees={learners.RANDOM_FOREST: _forest()},
+    )
+    return pipeline.best_model_forecast(hourly_filled(spark, sf_dir), run)
+
+
 @query
 def model_reload_eval(spark, sf_dir):
     filled = hourly_filled(spark, sf_dir)
