@@ -133,3 +133,127 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
         for s in above:
             full[s] = most * sizes[s]
         left = share * sum(sizes.values()) - sum(full.values())
+
+
+def divergence(docs, min_docs=30, top=50, scale=10**9):
+    """Rows (lang, source, part, item, value, rank) from rows (text, lang, source)."""
+    from collections import Counter, defaultdict
+
+    counts, holders = defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in docs:
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(AZ))
+        counts[lang or "", source or ""].update(words)
+        holders[lang or ""].update(set(words))
+    out = []
+    for lang in {k[0] for k in counts}:
+        kept = [t for t, n in holders[lang].items() if n >= min_docs]
+        own = {s: c for (g, s), c in counts.items() if g == lang}
+        whole = sum(own.values(), Counter())
+
+        def share(c):
+            total = sum(c[t] for t in kept) + 5 * len(kept)
+            return {t: 1 + scale * (c[t] + 5) // total for t in kept}
+
+        q, p = share(whole), {s: share(c) for s, c in own.items()}
+        for s in own:
+            pairs = sorted((-sum(abs(p[s][t] - p[o][t]) for t in kept), o.encode()) for o in own if o != s)
+            terms = sorted((q[t] - p[s][t], t.encode()) for t in kept if own[s][t] and p[s][t] > q[t])[:top]
+            for part, rows in (("pair", pairs), ("term", terms)):
+                out += [(lang, s, part, i.decode(), -v, r + 1) for r, (v, i) in enumerate(rows)]
+    return out
+
+
+def passages(docs, n=13):
+    """Rows (doc_id, n_words, n_removed, sha)."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    first = {}
+    for i, text in docs:
+        w = split(text)
+        for s in range(len(w) - n + 1):
+            key = tuple(w[s : s + n])
+            first[key] = min(first.get(key, i), i, key=order)
+    out = []
+    for i, text in docs:
+        w = split(text)
+        gone = set()
+        for s in range(len(w) - n + 1):
+            if order(first[tuple(w[s : s + n])]) < order(i):
+                gone |= set(range(s, s + n))
+        out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
+
+
+def alignment(docs, a_file, b_file):
+    """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, sha), by the two public libraries."""
+    from collections import Counter
+
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    a, b = Tokenizer.from_file(a_file), SentencePieceProcessor(model_file=b_file)
+    a.encode_special_tokens = True
+    letters = sorted(ByteLevel.alphabet())
+    byte = {c: ord(c) for c in letters if ord(c) < 256}
+    for c, value in zip([c for c in letters if ord(c) >= 256], [v for v in range(256) if v not in byte.values()]):
+        byte[c] = value
+
+    def tokens(text):
+        if not text:
+            return None
+        left = a.encode(" " + text, add_special_tokens=False).ids
+        right = b.encode(text)
+        spell_a = [bytes(byte[c] for c in a.id_to_token(i)) for i in left]
+        spell_b = [
+            bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p := b.id_to_piece(i)) else p.replace("▁", " ").encode()
+            for i in right
+        ]
+        if not b"".join(spell_a) == b"".join(spell_b) == (" " + text).encode():
+            return None
+        return left, right, [len(x) for x in spell_a], [len(x) for x in spell_b]
+
+    def spans(sizes):
+        at = 0
+        for n in sizes:
+            yield at, at + n
+            at += n
+
+    found, corpus = [], Counter()
+    for i, text in docs:
+        if not (t := tokens(text)):
+            found.append((i, [], [], []))
+            continue
+        left, right, size_a, size_b = t
+        sa, sb = list(spans(size_a)), list(spans(size_b))
+        links, low = [], 0
+        for x, (s, e) in enumerate(sa):
+            while sb[low][1] <= s:
+                low += 1
+            y = low
+            while y < len(sb) and sb[y][0] < e:
+                links.append((left[x], right[y]))
+                y += 1
+        cuts = sorted({e for _, e in sa} & {e for _, e in sb})
+        groups, start = [], 0
+        for cut in cuts:
+            groups.append(tuple(
+                ",".join(str(k) for k, (s, e) in zip(ids, ranges) if start <= s and e <= cut)
+                for ids, ranges in ((left, sa), (right, sb))
+            ))
+            start = cut
+        found.append((i, (left, right), links, groups))
+        corpus.update(set(links))
+    best = Counter()
+    for (x, _), n in corpus.items():
+        best[x] = max(best[x], n)
+    out = []
+    for i, both, links, groups in found:
+        if not links:
+            out.append((i, 0, 0, 0, 0, 0, 0, ""))
+            continue
+        text = ";".join("|".join(g) for g in groups)
+        out.append((
+            i, len(both[0]), len(both[1]), len(groups), len(links), sum(corpus[p] == best[p[0]] for p in links),
+            sum(corpus[p] for p in links), sha(text),
+        ))
+    return out

@@ -90,9 +90,62 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, length(h) // 2 - length(k) // 2 AS n
 FROM d JOIN kept USING (doc_id)
 """
 
+DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+each AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM each GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY ALL),
+cell AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+own AS (
+  SELECT lang, source, term, n,
+         1 + CAST(1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS BIGINT) AS p
+  FROM cell JOIN size USING (lang)),
+whole AS (
+  SELECT lang, term, 1 + CAST(1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM cell GROUP BY lang, term) JOIN size USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+    FROM own x JOIN own y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value
+  FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+WHERE part = 'pair' OR rank <= 50
+"""
+
+PASSAGES = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT g, min(doc_id) AS low FROM windows GROUP BY g),
+hit AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (g) WHERE low < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op3_voronoi_topk": NEAREST,
     "op4_suffix_dedup": REPEATS,
     "op6_line_dedup": LINES,
     "op8_decontamination": LEAKS,
+    "op11_divergence": DIVERGENCE,
+    "op13_anchor_dedup": PASSAGES,
 }

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.llm import (
+    alignment,
+    anchors,
     decontaminate,
+    divergence,
     licenses,
     lines,
     mixing,
@@ -132,3 +135,22 @@ def op10_secrets(spark, sf_dir):
         F.sha2("value", 256).alias("value_sha256"),
         F.round("score", 6).alias("score"),
     )
+
+
+@query
+def op11_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_alignment(spark, sf_dir):
+    documents, _ = alignment.align(table(spark, sf_dir, "documents"))
+    return documents.withColumnsRenamed({"doc": "doc_id", "groups": "groups_sha256"})
+
+
+@query
+def op13_anchor_dedup(spark, sf_dir):
+    cut = anchors.remove_passages(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
