@@ -150,7 +150,8 @@ ROW = pa.schema(
      ("counts", pa.list_(pa.int32())), ("done", pa.bool_())]
 )
 ROW_DDL = "bucket int, keys binary, docs array<long>, rows array<long>, counts array<int>, done boolean"
-FOUND = "row long, keys array<long>"
+FOUND = "row long, key long, keys array<long>"
+FOUND_SCHEMA = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -253,7 +254,7 @@ def probe(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def _answer(batches, width: int):
-    """All rows of a bucket: ``row, keys`` of the active entries."""
+    """All rows of a bucket: the active entries, one row each; those settled before pass through."""
     tags, more, orders, rows = [], [], [], []
     bucket = None
     for batch in batches:
@@ -261,7 +262,7 @@ def _answer(batches, width: int):
             keys, counts = batch.column(1)[i].as_py(), np.asarray(batch.column(4)[i].values)
             docs, row = np.asarray(batch.column(2)[i].values), np.asarray(batch.column(3)[i].values)
             if batch.column(5)[i].as_py():
-                yield from _found(np.repeat(row, counts), np.frombuffer(keys, np.int64))
+                yield from _found(row, np.frombuffer(keys, np.int64), counts)
                 continue
             bucket = batch.column(0)[i].as_py()
             if width == 5:
@@ -291,23 +292,27 @@ def _answer(batches, width: int):
     yield from _found(row[by][picked], key[picked])
 
 
-def _found(row: np.ndarray, key: np.ndarray):
-    """Arrow rows ``row, keys``, one per row key."""
-    if not len(row):
-        return
-    order = np.argsort(row, kind="stable")
-    row, key = row[order], key[order]
-    at = _runs(row)
-    out = pa.record_batch([pa.array(row[at]), _lists(key, at, pa.int64())], names=["row", "keys"])
-    for i in range(0, len(out), 20_000):
-        yield out.slice(i, 20_000)
+def _found(row: np.ndarray, key: np.ndarray, counts: np.ndarray | None = None):
+    """Arrow rows ``row, key``, or ``row, keys`` where so many keys each belong to a row."""
+    if counts is None:
+        columns = [pa.array(row), pa.array(key), pa.nulls(len(row), pa.list_(pa.int64()))]
+    else:
+        columns = [pa.array(row), pa.nulls(len(row), pa.int64()), _lists(key, np.cumsum(counts) - counts, pa.int64())]
+    out = pa.record_batch(columns, schema=FOUND_SCHEMA)
+    for i in range(0, len(out), 100_000):
+        yield out.slice(i, 100_000)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """``row, keys``: all keys of each row."""
+    alone, several = F.collect_list("key"), F.flatten(F.collect_list("keys"))
+    return found.groupBy("row").agg(F.concat(alone, several).alias("keys"))
 
 
 def extend(rows: DataFrame, active: DataFrame, window: int, buckets: int) -> DataFrame:
     """Pass 2: ``row, keys`` of the windows of each row that repeat a smaller document."""
     block = (window + 1) // 2
-    listed = active.groupBy("row").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    wanted = rows.join(listed, "row").select("doc", "row", "body", "keys")
+    wanted = rows.join(_listed(active), "row").select("doc", "row", "body", "keys")
 
     def scan(batches):
         for batch in batches:
@@ -375,8 +380,7 @@ def remove_passages(
     buckets = max(partitions, -(-volume // BUCKET))
     active = materialize(probe(rows, window, buckets), "passages-active")
     found = materialize(extend(rows, active, window, buckets), "passages-found")
-    listed = found.groupBy("row").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    wanted = rows.join(listed, "row", "left").select("doc", "row", "body", "keys")
+    wanted = rows.join(_listed(found), "row", "left").select("doc", "row", "body", "keys")
 
     def cut(batches):
         schema = pa.schema(
