@@ -32,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.bytesets import CHUNK, U64, Prefix, byte_values, chunks, mixed
+from tidepanel.llm.bytesets import CHUNK, U64, Prefix, byte_values, mixed
 from tidepanel.llm.common import text_of
 from tidepanel.sources.sinks import materialize
 
 WINDOW = 13
 #: Bytes of text settled together, and bytes of text for one bucket.
-SETTLE = 8 << 20
+SETTLE = 3 << 20
 BUCKET = 16 << 20
 GOLDEN = U64(0x9E3779B97F4A7C15)
 LETTERS = byte_values(13), byte_values(14)
@@ -136,13 +136,12 @@ def _answers(group: np.ndarray, order: np.ndarray, block: np.ndarray) -> tuple[n
     if not len(group):
         return np.zeros(0, bool), np.zeros(0, bool)
     at = _runs(group)
-    each = np.diff(np.append(at, len(group)))
-    last = np.iinfo(np.int64).max
-    first = np.repeat(np.minimum.reduceat(np.where(block, order, last), at), each)
-    most = np.repeat(np.maximum.reduceat(order, at), each)
-    known = np.repeat(np.logical_or.reduceat(block, at), each)
-    behind = known & (order > first)
-    return behind | (known & block & (order == first) & (most > first)), behind
+    number = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(group))))
+    first = np.minimum.reduceat(np.where(block, order, np.iinfo(np.int64).max), at)
+    several = np.maximum.reduceat(order, at) > first
+    known = np.logical_or.reduceat(block, at)
+    behind = known[number] & (order > first[number])
+    return behind | (block & several[number] & (order == first[number])), behind
 
 
 ROW = pa.schema(
@@ -209,11 +208,17 @@ def short_keys(runs: np.ndarray, buckets: int) -> np.ndarray:
     return (runs % U64(buckets)) << U64(TAG_BITS) | tag
 
 
-def _columns(batch: pa.RecordBatch):
-    """Rows by id: order of the ids, row keys, texts, further columns."""
+def _in_order(batch: pa.RecordBatch):
+    """The batch by id, null first, and ranges of rows with about SETTLE bytes of text."""
     batch = batch.take(pc.sort_indices(batch, sort_keys=[("doc", "ascending")], null_placement="at_start"))
-    order = np.asarray(pc.fill_null(batch.column(0), FIRST), np.int64)
-    return batch, order, np.asarray(batch.column(1), np.int64), batch.column(2).to_pylist()
+    size = np.cumsum(np.asarray(pc.binary_length(batch.column("body")), np.int64))
+    cuts = np.unique(np.searchsorted(size, np.arange(SETTLE, size[-1] if len(size) else 0, SETTLE))) + 1
+    cuts = [0, *cuts.tolist(), len(batch)]
+    for low, high in zip(cuts, cuts[1:]):
+        if low < high:
+            part = batch.slice(low, high - low)
+            order = np.asarray(pc.fill_null(part.column("doc"), FIRST), np.int64)
+            yield part, order, np.asarray(part.column("row"), np.int64)
 
 
 def probe(rows: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -222,10 +227,8 @@ def probe(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            _, order, row, bodies = _columns(batch)
-            for low, high in chunks(bodies, SETTLE):
-                docs, keys_of = order[low:high], row[low:high]
-                part = Batch(bodies[low:high], docs, 1)
+            for picked, docs, keys_of in _in_order(batch):
+                part = Batch(picked.column("body").to_pylist(), docs, 1)
                 runs = short_keys(run_digests(part.words[0], block), buckets)
                 long_enough = np.diff(part.first) >= window
                 at = np.flatnonzero(part.starts(block) & long_enough[part.owner[: len(runs)]])
@@ -255,12 +258,12 @@ def probe(rows: DataFrame, window: int, buckets: int) -> DataFrame:
 
 def _answer(batches, width: int):
     """All rows of a bucket: the active entries, one row each; those settled before pass through."""
-    tags, more, orders, rows = [], [], [], []
-    bucket = None
+    tags, more, whose, docs, rows = [], [], [], [], []
+    bucket, seen = None, 0
     for batch in batches:
         for i in range(len(batch)):
             keys, counts = batch.column(1)[i].as_py(), np.asarray(batch.column(4)[i].values)
-            docs, row = np.asarray(batch.column(2)[i].values), np.asarray(batch.column(3)[i].values)
+            doc, row = np.asarray(batch.column(2)[i].values), np.asarray(batch.column(3)[i].values)
             if batch.column(5)[i].as_py():
                 yield from _found(row, np.frombuffer(keys, np.int64), counts)
                 continue
@@ -269,27 +272,34 @@ def _answer(batches, width: int):
                 tags.append(_wide(keys, 5))
             else:
                 pair = np.frombuffer(keys, U64).reshape(-1, 2)
-                tags.append(pair[:, 0])
-                more.append(pair[:, 1])
-            orders.append(np.repeat(docs, counts))
-            rows.append(np.repeat(row, counts))
+                tags.append(pair[:, 0].copy())
+                more.append(pair[:, 1].copy())
+            whose.append(np.repeat(np.arange(seen, seen + len(doc), dtype=np.int32), counts))
+            seen += len(doc)
+            docs.append(doc)
+            rows.append(row)
     if not tags:
         return
-    tag, order, row = (np.concatenate(x) for x in (tags, orders, rows))
-    del tags, orders, rows
+    tag, who = np.concatenate(tags), np.concatenate(whose)
+    doc, row = np.concatenate(docs), np.concatenate(rows)
+    del tags, whose, docs, rows
     if width == 5:
-        block, group = (tag & U64(1)).astype(bool), tag >> U64(1)
-        by = np.argsort(group, kind="stable")
-        group = group[by]
-        key = (group | U64(bucket) << U64(TAG_BITS)).view(np.int64)
+        by = np.argsort(tag >> U64(1), kind="stable")
+        tag, who = tag[by], who[by]
+        del by
+        active, _ = _answers(tag >> U64(1), doc[who], (tag & U64(1)).astype(bool))
+        key = tag[active] >> U64(1) | U64(bucket) << U64(TAG_BITS)
     else:
         other = np.concatenate(more)
+        del more
         by = np.lexsort((other, tag))
-        key = tag[by].view(np.int64)
-        group, block = _numbered(tag[by], other[by]), np.ones(len(by), bool)
-    active, behind = _answers(group, order[by], block[by])
-    picked = active if width == 5 else behind
-    yield from _found(row[by][picked], key[picked])
+        tag, other, who = tag[by], other[by], who[by]
+        del by
+        group = _numbered(tag, other)
+        del other
+        _, active = _answers(group, doc[who], np.ones(len(who), bool))
+        key = tag[active]
+    yield from _found(row[who[active]], key.view(np.int64))
 
 
 def _found(row: np.ndarray, key: np.ndarray, counts: np.ndarray | None = None):
@@ -316,13 +326,11 @@ def extend(rows: DataFrame, active: DataFrame, window: int, buckets: int) -> Dat
 
     def scan(batches):
         for batch in batches:
-            batch, order, row, bodies = _columns(batch)
-            known = batch.column(3)
-            for low, high in chunks(bodies, SETTLE):
-                docs, keys_of = order[low:high], row[low:high]
-                part = Batch(bodies[low:high], docs, 2)
+            for picked, docs, keys_of in _in_order(batch):
+                part = Batch(picked.column("body").to_pylist(), docs, 2)
+                known = picked.column("keys").flatten().to_numpy(zero_copy_only=False)
                 runs = short_keys(run_digests(part.words[0], block), buckets).view(np.int64)
-                hits = np.isin(runs, known.slice(low, high - low).flatten().to_numpy(zero_copy_only=False))
+                hits = np.isin(runs, known)
                 inside = part.starts(window)
                 if not len(inside):
                     continue
