@@ -40,7 +40,7 @@ MIN_DOCS = 30
 TOP = 50
 #: Bytes of text that go through the pipeline at once, and cells (terms by sources) of one shard.
 SLICE = 4 << 20
-SHARD_CELLS = 4_000_000
+SHARD_CELLS = 250_000
 #: Partial counts are merged within a task whenever so many have come together.
 MERGE_ROWS = 500_000
 
