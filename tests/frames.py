@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import random
 
 from tidepanel.operators.grid import regular_grid
 
@@ -29,3 +31,18 @@ def gridded(spark, **series):
 
 def column(df, name="P", sid="a", order="k"):
     return [r[name] for r in df.where(df.sid == sid).orderBy(order).collect()]
+
+
+VALUES_SEED = 11
+
+
+def noisy(spark, series, freq="H"):
+    """``noisy(spark, {"a": (rows, level)})``: gridded daily waves with noise around a level, complete."""
+    rng = random.Random(VALUES_SEED)
+    rows = []
+    for sid, (n, level) in series.items():
+        value = 0.0
+        for i in range(n):
+            value = 0.6 * value + rng.gauss(0, 1)
+            rows.append((sid, at(i), level + 3 * math.sin(i / 4) + value, rng.gauss(0, 1) + 0.3 * value))
+    return regular_grid(spark.createDataFrame(rows, "sid string, ts timestamp_ntz, P double, Q double"), freq)

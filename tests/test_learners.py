@@ -54,7 +54,7 @@ def test_trees_are_deterministic_and_roll_forward(load, matrix):
 
     (first, model), (second, _) = run(), run()
     assert first == second
-    ahead = learners.recursive_tree(load, model, 10, 24, (6,), cut_every=4)
+    ahead = learners.recursive_tree(load, model, 10, 24, (6,))
     rows = ahead.where("sid = 'a'").orderBy("step").collect()
     assert [r.step for r in rows] == list(range(1, 11))
     assert all(50 < r.yhat < 150 for r in rows)

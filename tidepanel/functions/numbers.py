@@ -15,12 +15,13 @@ def rounded(c: Column | str, digits: int) -> Column:
     return F.round(c.cast(EXACT), digits).cast("double")
 
 
-def uniform(seed: int, *keys: Column | str) -> Column:
+def uniform(seed: int | Column, *keys: Column | str) -> Column:
     """A draw from [0, 1) that depends on seed and keys alone, not on partitions."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(float(1 << 53))
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    return F.shiftrightunsigned(F.xxhash64(seed, *keys), 11) / F.lit(float(1 << 53))
 
 
-def normal(seed: int, *keys: Column | str) -> Column:
+def normal(seed: int | Column, *keys: Column | str) -> Column:
     """A standard normal draw (Box-Muller) that depends on seed and keys alone."""
     radius = F.sqrt(-2 * F.log(1 - uniform(2 * seed, *keys)))
     return radius * F.cos(2 * F.pi() * uniform(2 * seed + 1, *keys))

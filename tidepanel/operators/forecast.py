@@ -6,7 +6,7 @@ one row with a short history array, and the steps are a fold over that row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,26 +78,65 @@ def recent_history(
     )
 
 
-def _unroll(
-    df: DataFrame, path: Column, steps: int, freq: Frequency, by: Sequence[str]
+Steps = int | Column
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _rolled(
+    history: DataFrame,
+    start: Column,
+    advance: Callable[[Column, Column], Column],
+    steps: Steps,
+    skip: Steps,
+    freq: str | Frequency,
+    by: Sequence[str],
 ) -> DataFrame:
-    nothing = F.array_repeat(F.lit(None).cast("double"), steps)
-    path = F.when(F.col("P_hist").isNull(), nothing).otherwise(path)
-    out = df.select(*by, "k", F.posexplode(path).alias("_i", "yhat"))
-    step = F.col("_i") + 1
+    """Fold ``advance(window, step)`` over each series: ``by..., step, ts, yhat``.
+
+    The state is a window of fixed length, whose oldest value leaves at every step, and
+    the values to show, those after ``skip``.  Both counts may differ by series.
+    """
+    steps, skip = (x if isinstance(x, Column) else F.lit(x) for x in (steps, skip))
+    skip = F.greatest(skip, F.lit(0)).cast("int")
+    shown = F.greatest(steps.cast("int") - skip, F.lit(0))
+    count = F.when(shown > 0, steps.cast("int")).otherwise(F.lit(0))
+    nothing = F.array().cast("array<double>")
+
+    def push(state: Column, step: Column) -> Column:
+        return bound(
+            advance(state.window, step),
+            lambda value: F.struct(
+                F.concat(F.slice(state.window, 2, F.size(state.window) - 1), F.array(value)).alias("window"),
+                F.when(step > skip, F.concat(state.path, F.array(value))).otherwise(state.path).alias("path"),
+            ),
+        )
+
+    seed = F.struct(start.cast("array<double>").alias("window"), nothing.alias("path"))
+    each = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(
+        F.array().cast("array<int>")
+    )
+    path = F.aggregate(each, seed, push, lambda state: state.path)
+    path = F.when(start.isNull(), F.array_repeat(F.lit(None).cast("double"), shown)).otherwise(path)
+    out = history.select(*by, "k", skip.alias("_skip"), F.posexplode(path).alias("_i", "yhat"))
+    step = F.col("_skip") + F.col("_i") + 1
     return out.select(
-        *by, step.alias("step"), freq.stamp(F.col("k") + step).alias("ts"), "yhat"
+        *by, step.alias("step"), frequency(freq).stamp(F.col("k") + step).alias("ts"), "yhat"
     )
 
 
 def recursive_linear(
     history: DataFrame,
     weights: Sequence[float],
-    steps: int,
+    steps: Steps,
     intercept: float = 0.0,
     frozen: dict[str, float] | None = None,
     freq: str | Frequency = "H",
     by: Sequence[str] = SERIES,
+    skip: Steps = 0,
 ) -> DataFrame:
     """Roll a linear window model forward; its own output is the newest input.
 
@@ -111,68 +150,100 @@ def recursive_linear(
     constant = F.lit(float(intercept))
     for c, w in (frozen or {}).items():
         constant = constant + F.element_at(f"{c}_hist", -1) * w
-    start = F.slice("P_hist", -length, length)
 
     def advance(values: Column, _: Column) -> Column:
-        terms = F.zip_with(F.slice(values, -length, length), coef, lambda x, w: x * w)
-        return F.concat(values, F.array(F.aggregate(terms, constant, lambda acc, x: acc + x)))
+        terms = F.zip_with(values, coef, lambda x, w: x * w)
+        return F.aggregate(terms, constant, lambda acc, x: acc + x)
 
-    grown = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance)
-    path = F.slice(grown, length + 1, steps)
-    out = _unroll(history, path, steps, frequency(freq), by)
+    out = _rolled(history, F.slice("P_hist", -length, length), advance, steps, skip, freq, by)
     return out.withColumn("yhat", rounded("yhat", 2))
 
 
 def recursive_window(
     history: DataFrame,
-    weights: Mapping[str, Sequence[float]],
-    steps: int,
-    intercept: float = 0.0,
+    weights: Mapping[str, Sequence[float] | Column],
+    steps: Steps,
+    intercept: float | Column = 0.0,
     freq: str | Frequency = "H",
     by: Sequence[str] = SERIES,
+    skip: Steps = 0,
+    length: int | None = None,
 ) -> DataFrame:
     """Roll a linear model over whole windows forward: ``by..., step, ts, yhat``.
 
     ``weights`` has, for P and every other column, one weight per window row, oldest
-    first.  Each step shifts the window by one row: P enters as forecast, the other
-    columns keep their last value.  A series with NULL histories has NULL forecasts.
+    first: numbers for all series, or array columns of each series' own (then ``length``
+    says how many).  Each step shifts the window by one row: P enters as forecast, the
+    other columns keep their last value.  A series with NULL histories has NULL forecasts.
     """
-    length = len(weights["P"])
-    if any(len(w) != length for w in weights.values()):
+    given = [w for w in weights.values() if not isinstance(w, Column)]
+    length = length or len(given[0])
+    if any(len(w) != length for w in given):
         raise ValueError("every column needs one weight per window row")
+    coef = {
+        c: w if isinstance(w, Column) else F.array(*[F.lit(float(x)) for x in w]) for c, w in weights.items()
+    }
+    start = intercept if isinstance(intercept, Column) else F.lit(float(intercept))
 
-    def dot(values: Column, column: str, start: Column) -> Column:
-        coef = F.array(*[F.lit(float(w)) for w in weights[column]])
-        return F.aggregate(F.zip_with(values, coef, lambda x, w: x * w), start, lambda acc, x: acc + x)
+    def dot(values: Column, column: str, total: Column) -> Column:
+        terms = F.zip_with(values, coef[column], lambda x, w: x * w)
+        return F.aggregate(terms, total, lambda acc, x: acc + x)
 
     def recent(c: str) -> Column:
         return F.slice(f"{c}_hist", -length, length)
 
+    # after ``length`` steps only the last value is left in the other windows
     others = {
-        c: F.concat(recent(c), F.array_repeat(F.element_at(f"{c}_hist", -1), steps))
+        c: F.concat(recent(c), F.array_repeat(F.element_at(f"{c}_hist", -1), length))
         for c in weights
         if c != "P"
     }
 
     def advance(values: Column, step: Column) -> Column:
-        total = F.lit(float(intercept))
+        total = start
         for c, whole in others.items():
-            total = dot(F.slice(whole, step, F.lit(length)), c, total)
-        return F.concat(values, F.array(dot(F.slice(values, -length, length), "P", total)))
+            total = dot(F.slice(whole, F.least(step, F.lit(length + 1)), F.lit(length)), c, total)
+        return dot(values, "P", total)
 
-    grown = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), recent("P"), advance)
-    path = F.slice(grown, length + 1, steps)
-    out = _unroll(history, path, steps, frequency(freq), by)
+    out = _rolled(history, recent("P"), advance, steps, skip, freq, by)
     return out.withColumn("yhat", rounded("yhat", 2))
 
 
+def recursive_models(
+    history: DataFrame,
+    models: DataFrame,
+    length: int,
+    steps: Steps,
+    cols: Sequence[str] = ("P", "Q"),
+    freq: str | Frequency = "H",
+    by: Sequence[str] = SERIES,
+    skip: Steps = 0,
+) -> DataFrame:
+    """Roll every series forward with its own window model, one row of ``models`` each.
+
+    ``models`` has ``weights`` (oldest row first, columns side by side) and ``intercept``.
+    A series without a model has NULL forecasts.
+    """
+
+    def every(i: int) -> Column:
+        return F.filter("weights", lambda _, at: at % len(cols) == i)
+
+    named = models.select(
+        *by, F.col("intercept").alias("_bias"), *[every(i).alias(f"_{c}_weights") for i, c in enumerate(cols)]
+    )
+    joined = history.join(named, list(by), "left")
+    own = {c: F.col(f"_{c}_weights") for c in cols}
+    return recursive_window(joined, own, steps, F.col("_bias"), freq, by, skip, length)
+
+
 def mean_reverting(
     history: DataFrame,
-    steps: int,
+    steps: Steps,
     noise: float = 0.0,
     seed: int = 42,
     freq: str | Frequency = "H",
     by: Sequence[str] = SERIES,
+    skip: Steps = 0,
 ) -> DataFrame:
     """Walk from the last value towards the window mean.
 
@@ -184,19 +255,18 @@ def mean_reverting(
     mean = F.aggregate("P_hist", zero, lambda acc, x: acc + x) / n
     df = history.withColumn("_mean", mean)
     square = lambda acc, x: acc + (x - F.col("_mean")) * (x - F.col("_mean"))
-    std = F.sqrt(F.aggregate("P_hist", zero, square) / n)
-    shocks = [
-        normal(seed + i, *by, "k") if noise else zero for i in range(max(steps - 1, 0))
-    ]
-    scale = std * (0.1 * noise)
-    df = df.withColumn("_shock", F.array(*[s * scale for s in shocks]).cast("array<double>"))
+    scale = F.sqrt(F.aggregate("P_hist", zero, square) / n) * (0.1 * noise)
+    df = df.withColumn("_scale", scale)
     first = rounded(F.element_at("P_hist", -1), 2)
 
-    def advance(path: Column, shock: Column) -> Column:
-        value = F.element_at(path, -1) * 0.7 + F.col("_mean") * 0.3 + shock
-        return F.concat(path, F.array(rounded(value, 2)))
+    def advance(values: Column, step: Column) -> Column:
+        value = F.element_at(values, -1) * 0.7 + F.col("_mean") * 0.3
+        if noise:
+            value = value + normal(F.lit(seed) + step - 2, *by, "k") * F.col("_scale")
+        return F.when(step == 1, F.element_at(values, -1)).otherwise(rounded(value, 2))
 
-    return _unroll(df, F.aggregate("_shock", F.array(first), advance), steps, frequency(freq), by)
+    start = F.when(F.col("P_hist").isNotNull(), F.array(first))
+    return _rolled(df, start, advance, steps, skip, freq, by)
 
 
 def over_range(
@@ -210,23 +280,21 @@ def over_range(
 ) -> DataFrame:
     """A forecaster's steps from the date ``start`` to the end of the date ``end``.
 
-    ``roll(history, steps, freq=..., by=...)`` rolls from the end of each series; what
-    lies before ``start`` is forecast but not shown.  ``gap`` is the number of steps
-    between the series' last row and ``start``.  Result: ``by..., gap, step, ts, yhat``.
+    ``roll(history, steps, freq=..., by=..., skip=...)`` rolls each series over its own
+    gap; only a window of fixed length is carried across it, and what lies before
+    ``start`` is neither kept nor shown.  ``gap`` is the number of steps between the
+    series' last row and ``start``; a series that ends after the range has no rows.
+    Result: ``by..., gap, step, ts, yhat``.
     """
     freq = frequency(freq)
     day = lambda text: F.lit(text).cast("date").cast("timestamp_ntz")
     first = freq.index(day(start))
     stop = freq.index(F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
-    reach = history.agg(F.max(stop - F.col("k") - 1).alias("steps")).first()["steps"]
-    rolled = roll(history, max(int(reach or 0), 1), freq=freq, by=by, **options)
-    gap = history.select(*by, (first - F.col("k") - 1).alias("gap"))
+    gap, steps = first - F.col("k") - 1, stop - F.col("k") - 1
+    rolled = roll(history, steps, freq=freq, by=by, skip=gap, **options)
     at = freq.index(F.col("ts"))
-    return (
-        rolled.where((at >= first) & (at < stop))
-        .join(gap, list(by))
-        .select(*by, "gap", "step", "ts", "yhat")
-    )
+    # step, time and gap follow from each other, so no join brings the gap back
+    return rolled.select(*by, (first - at + F.col("step") - 1).alias("gap"), "step", "ts", "yhat")
 
 
 def forecast_summary(forecast: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:

@@ -15,16 +15,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.timeaxis import Frequency, frequency
+from tidepanel.functions.timeaxis import Frequency
 from tidepanel.operators.chunks import SERIES
-from tidepanel.operators.features import (
-    feature_names,
-    history_depth,
-    history_vector,
-    sequence_windows,
-)
+from tidepanel.operators.features import feature_names, sequence_windows
 from tidepanel.operators.folds import RollingOrigin
-from tidepanel.operators.forecast import recent_history
+from tidepanel.operators.forests import flatten, recursive_forest
 from tidepanel.sources.sinks import materialize
 
 RANDOM_FOREST, BOOSTED = "RandomForest", "GradientBoosting"
@@ -203,45 +198,9 @@ def recursive_tree(
     exog: Sequence[str] = (),
     freq: str | Frequency = "H",
     by: Sequence[str] = SERIES,
-    cut_every: int = 8,
 ) -> DataFrame:
-    """Roll a fitted one-step feature model forward: ``by..., step, ts, yhat``.
-
-    The state is one row per series holding just the values the features need.
-    Each step rebuilds the features of the newest row, predicts the next one and
-    appends it; Q and the exogenous columns keep their last value.
-    """
-    freq = frequency(freq)
-    cols = ["P", "Q", *exog]
-    depth = history_depth(max_lag, windows)
-    complete = df.dropna(subset=cols)
-    state = recent_history(complete, depth + 1, cols, by)
-    state = state.withColumns({"at": F.col("k"), "path": F.array().cast("array<double>")})
-    state = materialize(state, "state")
-    # column expressions are by name, so one set serves every step
-    history = {c: F.slice(f"{c}_hist", 1, depth) for c in cols}
-    vector = history_vector(history, freq.stamp(F.col("at")), max_lag, windows, use_time)
-    grown = [
-        F.concat(
-            F.slice(f"{c}_hist", 2, depth),
-            F.array(F.col("yhat") if c == "P" else F.element_at(f"{c}_hist", -1)),
-        ).alias(f"{c}_hist")
-        for c in cols
-    ]
-    grown += [F.concat("path", F.array("yhat")).alias("path"), (F.col("at") + 1).alias("at")]
-    # a one-row generator: projections do not merge across it, so the plan grows
-    # by one step at a time instead of being substituted into itself
-    advance = [*by, "k", F.inline(F.array(F.struct(*grown)))]
-    features = array_to_vector(vector)
-    for step in range(1, steps + 1):
-        state = model.transform(state.withColumn("x", features)).select(*advance)
-        if step % cut_every == 0 and step < steps:
-            state = materialize(state, "state")
-    rows = state.select(*by, "k", F.posexplode("path").alias("_i", "yhat"))
-    rows = rows.withColumn("step", F.col("_i") + 1)
-    return rows.select(
-        *by, "step", freq.stamp(F.col("k") + F.col("step")).alias("ts"), F.round("yhat", 2).alias("yhat")
-    )
+    """Roll a fitted tree, forest or boosted model forward; see ``forests.recursive_forest``."""
+    return recursive_forest(df, flatten(model), steps, max_lag, windows, use_time, exog, freq, by)
 
 
 def matrix_names(max_lag, windows, use_time=True, exog=()) -> list[str]:

@@ -383,6 +383,95 @@ SEARCH = SAMPLES + ",\n" + baseline(
 ) + ",\n" + scored("simple", "sid, season", name="trials")
 
 
+COMPLETE = """ranked AS (
+  SELECT sid, ts, P, Q, row_number() OVER (PARTITION BY sid ORDER BY ts) - 1 AS rn,
+         count(*) OVER (PARTITION BY sid) AS n
+  FROM filled WHERE P IS NOT NULL AND Q IS NOT NULL)"""
+
+PAIR_MODEL = """model AS (
+  SELECT *, my - w1 * m1 - w2 * m2 AS bias FROM (
+    SELECT *, (b1 * a2 - b2 * c) / (a1 * a2 - c * c) / s1 AS w1, (b2 * a1 - b1 * c) / (a1 * a2 - c * c) / s2 AS w2
+    FROM (SELECT *, v1 / (s1 * s1) + reg AS a1, v2 / (s2 * s2) + reg AS a2, c12 / (s1 * s2) AS c,
+                 c1 / s1 AS b1, c2 / s2 AS b2
+          FROM (SELECT *, sqrt(v1) + 1e-8 AS s1, sqrt(v2) + 1e-8 AS s2 FROM moments))))"""
+
+
+def pair_moments(keys: str, source: str, where: str, reg: float) -> str:
+    """Means, variances and covariances of two inputs x1, x2 and y."""
+    return f"""moments AS (
+  SELECT {keys}, {reg} AS reg, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2,
+         covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+  FROM {source} WHERE {where} GROUP BY ALL)"""
+
+
+def two_inputs(strategy: str, reg: float = 0.0) -> str:
+    """Least squares of P and Q, 1 and 12 rows ahead, on P and Q; two folds of 100."""
+    ahead = "h.horizon" if strategy == "direct" else "12"
+    return f"""{FILLED},
+{COMPLETE},
+sample AS (
+  SELECT a.sid, a.ts, a.rn, h.horizon, t.target, a.P AS x1, a.Q AS x2,
+         CASE t.target WHEN 'P' THEN b.P ELSE b.Q END AS y, a.n - {ahead} - 200 AS first
+  FROM ranked a, (SELECT unnest([1, 12]) AS horizon) h, (SELECT unnest(['P', 'Q']) AS target) t, ranked b
+  WHERE b.sid = a.sid AND b.rn = a.rn + h.horizon AND a.rn < a.n - {ahead}),
+{pair_moments("sid, horizon, target, fold", "sample, (SELECT unnest(range(2)) AS fold) f", "rn < first + 100 * fold", reg)},
+{PAIR_MODEL},
+two AS (
+  SELECT s.sid, CAST(s.horizon AS INTEGER) AS horizon, CAST(m.fold AS INTEGER) AS fold, s.target, s.ts, s.y,
+         m.bias + m.w1 * s.x1 + m.w2 * s.x2 AS yhat, 'LinearWindow' AS model
+  FROM sample s JOIN model m ON m.sid = s.sid AND m.horizon = s.horizon AND m.target = s.target
+   AND s.rn >= s.first + 100 * m.fold AND s.rn < s.first + 100 * (m.fold + 1))"""
+
+
+AR_TWO = f"""{FILLED},
+{COMPLETE},
+sample AS (
+  SELECT a.sid, a.rn, a.P AS x1, b.P AS x2, c.P AS y, a.n - 2 - 100 AS first
+  FROM ranked a JOIN ranked b ON b.sid = a.sid AND b.rn = a.rn - 1
+  JOIN ranked c ON c.sid = a.sid AND c.rn = a.rn + 1),
+{pair_moments("sid", "sample", "rn - 1 < first", 0.0)},
+{PAIR_MODEL},
+two AS (
+  SELECT s.sid, 2 AS lag, y, bias + w1 * x1 + w2 * x2 AS yhat FROM sample s JOIN model USING (sid) WHERE rn - 1 >= first
+  UNION ALL
+  SELECT s.sid, 1, y, my + c1 / v1 * (x1 - m1) FROM sample s JOIN model USING (sid) WHERE rn - 1 >= first)"""
+
+USERS_FILLED = f"{USERS}, {grid_of(step='1 day')}, {interpolated()}"
+
+USER_ROLL = f"""{USERS_FILLED},
+{COMPLETE},
+sample AS (
+  SELECT a.sid, a.P AS x1, a.Q AS x2, b.P AS y FROM ranked a JOIN ranked b ON b.sid = a.sid AND b.rn = a.rn + 1
+  WHERE a.n - 1 >= 20),
+{pair_moments("sid", "sample", "TRUE", 1e-3)},
+{PAIR_MODEL},
+roll AS (
+  SELECT r.sid, r.ts AS last_ts, 0 AS step, P AS value, Q AS q, bias, w1, w2
+  FROM ranked r LEFT JOIN model m ON m.sid = r.sid WHERE r.rn = r.n - 1
+  UNION ALL
+  SELECT sid, last_ts, step + 1, bias + w1 * value + w2 * q, q, bias, w1, w2 FROM roll WHERE step < 72)"""
+
+USER_RANGE = f"""{USERS_FILLED},
+{last_rows(6)},
+walk AS (
+  SELECT sid, last_ts, 1 AS step, {exact("p[6]", 2)} AS yhat, list_avg(p) AS mu,
+         date_diff('day', last_ts, TIMESTAMP '2024-03-08') - 1 AS steps FROM recent
+  UNION ALL
+  SELECT sid, last_ts, step + 1, {exact("yhat * 0.7 + mu * 0.3", 2)}, mu, steps FROM walk WHERE step < steps)"""
+
+FOREST_ROLL = f"""{FILLED},
+{last_rows(25)},
+roll AS (
+  SELECT sid, last_ts, 0 AS step, p AS h, q, CAST(NULL AS DOUBLE) AS yhat FROM recent
+  UNION ALL
+  SELECT sid, last_ts, step + 1, list_append(h[2:25], v), list_append(q[2:25], q[25]), v
+  FROM (SELECT *, (CASE WHEN h[24] <= 60 THEN CASE WHEN list_avg(h[19:24]) <= 55 THEN 51.5 ELSE 57 END
+                        ELSE CASE WHEN h[1] <= 65 THEN 62 ELSE 71.5 END END
+                 + CASE WHEN q[24] <= 3 THEN 48.5
+                        WHEN sin(2 * pi() * hour(last_ts + to_hours(step)) / 24) <= 0.1 THEN 66 ELSE 58.5 END
+                  ) / 2.0 AS v FROM roll WHERE step < 72))"""
+
+
 def all_sql() -> dict[str, str]:
     sql = {
         "scan_panel": f"WITH {SHIP} SELECT sid, ts, {', '.join(r(c, digits=3) for c in ('P', 'Q', 'discount', 'tax'))} FROM panel",
@@ -616,6 +705,28 @@ QUALIFY row_number() OVER (PARTITION BY target ORDER BY votes DESC, place) = 1""
   {r("1 - a.RMSE / n.RMSE", "skill")} FROM averaged a
 JOIN averaged n ON n.model = 'Naive' AND n.target = a.target AND n.horizon = a.horizon"""
 
+    for strategy in ("direct", "multi_output"):
+        sql[f"seq_{strategy}_two"] = (
+            f"WITH {two_inputs(strategy)} SELECT sid, horizon, fold, target, ts, {r('y')}, {r('yhat')} FROM two"
+        )
+    by = "sid, model, horizon, fold, target"
+    sql["model_reload_eval"] = f"WITH {two_inputs('direct')}, {scored('two', by)} {show('results', by)}"
+    sql["fold_scalers"] = f"""WITH {FILLED}, {COMPLETE},
+cells AS (
+  SELECT x.sid, f.fold, x.P, x.Q
+  FROM ranked x, (SELECT unnest(range(24)) AS back) b, (SELECT unnest(range(3)) AS fold) f
+  WHERE x.rn - b.back >= 0 AND x.rn - b.back < x.n - 24 - 150 + 50 * f.fold)
+SELECT sid, 1 AS horizon, CAST(fold AS INTEGER) AS fold, {r("avg(P)", "P_mean")}, {r("stddev_pop(P) + 1e-8", "P_std")},
+       {r("avg(Q)", "Q_mean")}, {r("stddev_pop(Q) + 1e-8", "Q_std")} FROM cells GROUP BY sid, fold"""
+    sql["search_ar_lags_two"] = f"WITH {AR_TWO}, {scored('two', 'sid, lag')} {show('results', 'sid, lag')}"
+    sql["recursive_models"] = f"""WITH RECURSIVE {USER_ROLL}
+SELECT sid, step, last_ts + to_days(step) AS ts, {r("value", "yhat", 2)} FROM roll WHERE step > 0"""
+    sql["forecast_range_users"] = f"""WITH RECURSIVE {USER_RANGE}
+SELECT sid, date_diff('day', last_ts, TIMESTAMP '2024-03-01') - 1 AS gap, step, last_ts + to_days(step) AS ts, yhat
+FROM walk WHERE last_ts + to_days(step) >= TIMESTAMP '2024-03-01'"""
+    sql["recursive_forest"] = f"""WITH RECURSIVE {FOREST_ROLL}
+SELECT sid, step, last_ts + to_hours(step) AS ts, {r("yhat", digits=2)} FROM roll WHERE step > 0"""
+
     sql["search_space"] = """SELECT sid, d_model, nhead
 FROM (SELECT DISTINCT event_type AS sid FROM events),
      (SELECT unnest([64, 128, 192, 256, 320]) AS d_model), (SELECT unnest([4, 8, 12, 16]) AS nhead)

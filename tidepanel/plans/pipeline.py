@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.metrics import DEFAULT_METRICS, eval_metrics
 from tidepanel.functions.numbers import rounded
 from tidepanel.functions.timeaxis import frequency
-from tidepanel.operators import learners
+from tidepanel.operators import learners, moments
 from tidepanel.operators.baselines import (
     baseline_predictions,
     naive_forecast,
@@ -21,7 +21,7 @@ from tidepanel.operators.baselines import (
 from tidepanel.operators.chunks import SERIES, positions
 from tidepanel.operators.features import feature_rows, history_depth, training_matrix
 from tidepanel.operators.folds import RollingOrigin
-from tidepanel.operators.forecast import last_step, recent_history, recursive_window
+from tidepanel.operators.forecast import last_step, recent_history, recursive_models
 from tidepanel.operators.impute import impute
 from tidepanel.sources.sinks import materialize, write_results
 
@@ -58,10 +58,11 @@ def all_predictions(df: DataFrame, run: Evaluation, by: Sequence[str] = SERIES)
 
 def fitted_predictions(
     df: DataFrame, run: Evaluation, by: Sequence[str] = SERIES
-) -> tuple[DataFrame, dict[tuple[str, str, int], object]]:
-    """Predictions, and the models of the last fold by ``(name, target, horizon)``.
+) -> tuple[DataFrame, dict[object, object]]:
+    """Predictions, tree models of the last fold by ``(name, target, horizon)``, and window models.
 
-    ``lead`` is the number of rows between the newest model input and the predicted
+    The window models are a table of one row per series, horizon, fold and target under the
+    key ``LinearWindow``.  ``lead`` is the number of rows between the newest model input and the predicted
     row: tree features stop one row earlier than sequence windows.
     """
     models = {}
@@ -88,10 +89,9 @@ def fitted_predictions(
             )
             models |= {(*key, h): model for key, model in trees.items()}
             parts.append(scored.select(*keep, (F.col("horizon") + 1).alias("lead")))
-    scored, linear = learners.evaluate_sequences(
-        df, run.sequence_length, run.horizons, run.sequence_strategy, cols, run.targets, run.split, by
+    scored, models[moments.MODEL] = moments.evaluate_windows(
+        df, run.sequence_length, run.horizons, run.sequence_strategy, cols, run.targets, run.split, by=by
     )
-    models |= {("LinearWindow", *key): model for key, model in linear.items()}
     parts.append(scored.select(*keep, F.col("horizon").alias("lead")))
     out = parts[0]
     for part in parts[1:]:
@@ -104,7 +104,8 @@ def best_model_forecast(
 ) -> DataFrame:
     """Evaluate all families one row ahead, roll the one with the least RMSE for P forward.
 
-    Result: ``model, by..., step, ts, yhat``; the learned model is that of the last fold.
+    What is rolled has learned from the whole history: a window model of each series' own,
+    or the tree ensemble fitted again on all rows.  Result: ``model, by..., step, ts, yhat``.
     """
     run = replace(run, horizons=(1,), targets=("P",))
     scored, models = fitted_predictions(df, run, by)
@@ -115,13 +116,17 @@ def best_model_forecast(
     if found is None:
         raise ValueError("no model could be scored")
     best, freq, cols = found["model"], frequency(run.freq), ["P", "Q", *run.exog]
-    if best == "LinearWindow":
-        weights, intercept = learners.window_weights(models[best, "P", 1], cols)
+    if best == moments.MODEL:
         history = recent_history(df.dropna(subset=cols), run.sequence_length, cols, by)
-        out = recursive_window(history, weights, steps, intercept, freq, by)
+        whole = models[best].where(F.col("fold") == run.split.n_splits)
+        out = recursive_models(history, whole, run.sequence_length, steps, cols, freq, by)
     elif best in run.trees:
+        matrix = training_matrix(
+            df, run.max_lag, run.windows, (1,), ("P",), run.use_time, run.exog, by, run.freq
+        )
+        model = learners.fit(run.trees[best], learners.labelled(materialize(matrix, "history"), "P", 1))
         out = learners.recursive_tree(
-            df, models[best, "P", 1], steps, run.max_lag, run.windows, run.use_time, run.exog, freq, by
+            df, model, steps, run.max_lag, run.windows, run.use_time, run.exog, freq, by
         )
     else:
         rows = df.dropna(subset=cols)

@@ -18,15 +18,17 @@ from tidepanel.operators import (
     features,
     folds,
     forecast,
+    forests,
     grid,
     impute,
     learners,
+    moments,
     ranking,
     search,
 )
 from tidepanel.operators.chunks import positions
 from tidepanel.plans import pipeline
-from tidepanel.sources import generator, panels, readers, sinks
+from tidepanel.sources import generator, models, panels, readers, sinks
 from tidepanel.sources.panels import table
 from tidepanel.sources.sinks import rounded
 
@@ -71,6 +73,11 @@ def hourly_filled(spark, sf_dir) -> DataFrame:
     return impute.impute(hourly_grid(spark, sf_dir), "interpolate")
 
 
+def filled_once(spark, sf_dir) -> DataFrame:
+    """The filled panel as a written table, for what reads it several times."""
+    return sinks.materialize(hourly_filled(spark, sf_dir), "filled")
+
+
 def sample_rows(spark, sf_dir) -> DataFrame:
     """Rows with a complete feature history: what models are trained and scored on."""
     return positions(features.feature_rows(hourly_filled(spark, sf_dir), DEPTH))
@@ -703,12 +710,15 @@ def eval_trees(spark, sf_dir):
     return eval_metrics(_trees(spark, sf_dir, both)[0])
 
 
+WINDOW_SPLIT = folds.RollingOrigin(100, 2)
+
+
 def _sequences(strategy: str) -> Query:
     def run(spark, sf_dir):
-        scored, _ = learners.evaluate_sequences(
-            hourly_filled(spark, sf_dir), WINDOW, (1, 12), strategy, split=TREE_SPLIT
+        scored, _ = moments.evaluate_windows(
+            filled_once(spark, sf_dir), WINDOW, HORIZONS, strategy, targets=("P", "Q"), split=WINDOW_SPLIT
         )
-        return eval_metrics(scored)
+        return eval_metrics(scored, by=["sid", "horizon", "fold", "target"])
 
     return run
 
@@ -717,14 +727,52 @@ QUERIES["seq_direct"] = _sequences("direct")
 QUERIES["seq_multi_output"] = _sequences("multi_output")
 
 
+def _two_inputs(strategy: str) -> Query:
+    """Windows of one row of P and Q, whose normal equations SQL can solve."""
+
+    def run(spark, sf_dir):
+        scored, _ = moments.evaluate_windows(
+            filled_once(spark, sf_dir), 1, (1, 12), strategy, targets=("P", "Q"), split=WINDOW_SPLIT, reg=0.0
+        )
+        return shown(scored, "horizon", "fold", "target", "y", "yhat")
+
+    return run
+
+
+QUERIES["seq_direct_two"] = _two_inputs("direct")
+QUERIES["seq_multi_output_two"] = _two_inputs("multi_output")
+
+
+@query
+def fold_scalers(spark, sf_dir):
+    fitted = moments.fit_windows(filled_once(spark, sf_dir), WINDOW, (1,), split=SPLIT)
+    return rounded(moments.fold_scalers(fitted).where(F.col("fold") < SPLIT.n_splits), 6)
+
+
+@query
+def search_ar_lags(spark, sf_dir):
+    return moments.search_ar_lags(filled_once(spark, sf_dir), 24, split=ONE_FOLD, reg=1e-6)
+
+
+@query
+def best_ar_lag(spark, sf_dir):
+    return search.best_trial(search_ar_lags(spark, sf_dir), "lag")
+
+
+@query
+def search_ar_lags_two(spark, sf_dir):
+    return rounded(moments.search_ar_lags(filled_once(spark, sf_dir), 2, split=ONE_FOLD), 6)
+
+
 @query
 def run_evaluation(spark, sf_dir):
     run = pipeline.Evaluation(
-        horizons=(1,),
-        split=TREE_SPLIT,
+        horizons=(1, 12),
+        targets=("P", "Q"),
+        split=WINDOW_SPLIT,
         max_lag=TREE_LAGS,
         windows=TREE_WINDOWS,
-        trees={learners.RANDOM_FOREST: _forest()},
+        trees={learners.RANDOM_FOREST: learners.random_forest(5, 3, minInstancesPerNode=10)},
     )
     return pipeline.run_evaluation(hourly_filled(spark, sf_dir), run)
 
@@ -742,23 +790,68 @@ def best_model_forecast(spark, sf_dir):
 
 @query
 def model_reload_eval(spark, sf_dir):
-    filled = hourly_filled(spark, sf_dir)
-    scored, models = learners.evaluate_sequences(filled, WINDOW, (1,), split=TREE_SPLIT)
-    path = sinks.scratch_path(spark, "model")
-    sinks.save_model(models["P", 1], path, ranking.model_metadata(eval_metrics(scored)))
-    windows = learners.window_vectors(features.sequence_windows(filled, WINDOW, (1,)))
-    tested = windows.where(TREE_SPLIT.test_fold(F.col("sample"), F.col("samples")) == 0)
-    rows = learners.labelled(tested, "P", 1)
-    again = learners.predict(sinks.load_model(path), rows, "LinearWindow", "P", 1, 0)
-    return eval_metrics(again).join(sinks.load_metadata(spark, path), "model")
+    """Models of two versions are saved; the first is asked for again and scored."""
+    filled, path = filled_once(spark, sf_dir), sinks.scratch_path(spark, "model-table")
+    options = {"length": 1, "horizons": (1, 12), "targets": ("P", "Q"), "split": WINDOW_SPLIT}
+    fitted = moments.fit_windows(filled, **options, reg=0.0)
+    models.save_models(fitted, path, 1)
+    models.save_models(fitted.withColumn("intercept", F.lit(0.0)), path, 2)
+    scored = moments.window_predictions(filled, models.load_models(spark, path, 1), **options)
+    return rounded(eval_metrics(scored, by=["sid", "model", "horizon", "fold", "target"]), 6)
+
+
+USER_SPLIT = folds.RollingOrigin(5, 3, short="skip")
+
+
+def users_filled(spark, sf_dir) -> DataFrame:
+    daily = grid.regular_grid(panels.events_by_user(spark, sf_dir, "D"), "D")
+    return sinks.materialize(impute.impute(daily, "interpolate"), "users-filled")
+
+
+@query
+def recursive_models(spark, sf_dir):
+    """Every user's own model: fitted on all history, saved, read again, rolled 72 days."""
+    filled, path = users_filled(spark, sf_dir), sinks.scratch_path(spark, "user-models")
+    models.save_models(moments.fit_windows(filled, 1, (1,), split=USER_SPLIT, reg=1e-3), path, 1)
+    whole = models.load_models(spark, path).where(F.col("fold") == USER_SPLIT.n_splits)
+    history = forecast.recent_history(features.complete_rows(filled), 1, short="null")
+    return forecast.recursive_models(history, whole, 1, 72, freq="D")
+
+
+@query
+def forecast_range_users(spark, sf_dir):
+    """One range of dates for users whose data end on different days."""
+    history = forecast.recent_history(users_filled(spark, sf_dir), 6, short="skip")
+    return forecast.over_range(history, forecast.mean_reverting, "2024-03-01", "2024-03-07", "D")
 
 
 @query
 def recursive_tree(spark, sf_dir):
     filled = hourly_filled(spark, sf_dir)
-    _, models = _trees(spark, sf_dir, {learners.RANDOM_FOREST: _forest()})
-    model = models[learners.RANDOM_FOREST, "P"]
-    return learners.recursive_tree(filled, model, 24, TREE_LAGS, TREE_WINDOWS)
+    _, fitted = _trees(spark, sf_dir, {learners.RANDOM_FOREST: _forest()})
+    model = fitted[learners.RANDOM_FOREST, "P"]
+    return learners.recursive_tree(filled, model, 72, TREE_LAGS, TREE_WINDOWS)
+
+
+def _named(name: str) -> int:
+    return learners.matrix_names(TREE_LAGS, TREE_WINDOWS).index(name)
+
+
+def _node(name: str, threshold: float, left, right) -> dict:
+    return {"feature": _named(name), "threshold": threshold, "left": left, "right": right}
+
+
+# A small forest over the feature matrix, for a forecast that SQL can follow.
+SMALL_FOREST = (
+    _node("P_lag_1", 60.0, _node("P_roll_mean_6", 55.0, 51.5, 57.0), _node("P_lag_24", 65.0, 62.0, 71.5)),
+    _node("Q_lag_1", 3.0, 48.5, _node("hour_sin", 0.1, 66.0, 58.5)),
+)
+
+
+@query
+def recursive_forest(spark, sf_dir):
+    given = forests.Forest.of(SMALL_FOREST)
+    return forests.recursive_forest(hourly_filled(spark, sf_dir), given, 72, TREE_LAGS, TREE_WINDOWS)
 
 
 @query
