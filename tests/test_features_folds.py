@@ -217,3 +217,33 @@ def test_date_spine_covers_whole_last_day(spark):
     df = spark.createDataFrame([("2025-10-20", "2025-10-22")], "a string, b string")
     spine = forecast.date_spine(df, F.col("a").cast("timestamp_ntz"), F.col("b").cast("timestamp_ntz"))
     assert spine.count() == 72
+
+
+def test_islands_across_chunks(spark):
+    rng = np.random.default_rng(4)
+    for seed in range(4):
+        values = [None if rng.random() < 0.15 else float(i) for i in range(60)]
+        df = gridded(spark, a=values, b=[1.0] * 30, c=[None, 2.0, None, 3.0])
+        got = {(r.sid, r.k): r.island for r in features.islands(df).collect()}
+        first = min(k for s, k in got if s == "b")
+        want, start = {}, None
+        for i, v in enumerate(values):
+            start = None if v is None else (i if start is None else start)
+            if v is not None:
+                want["a", first + i] = first + start
+        want |= {("b", first + i): first for i in range(30)} | {("c", first + i): first + i for i in (1, 3)}
+        assert got == want
+
+
+def test_windows_and_baselines_stay_inside_an_island(spark):
+    values = [float(i) if i % 11 else None for i in range(70)]
+    rows = features.islands(gridded(spark, a=values))
+    wide = features.sequence_windows(rows, 4, (2,), by=("sid", "island")).collect()
+    for r in wide:
+        p = [x.P for x in r.x]
+        assert p == list(np.arange(p[0], p[0] + 4)) and r.P_h2 == p[-1] + 2
+    assert len(wide) == 6 * 5 and {r.samples for r in wide} <= {5}
+    split = folds.RollingOrigin(2, 1, short="skip")
+    scored = baselines.baseline_predictions(rows, (1,), split, (3,), by=("sid", "island"))
+    for r in scored.where("model = 'Naive'").collect():
+        assert 0 < r.y - r.yhat <= 3 and r.y // 11 == r.yhat // 11

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.timeaxis import epoch_seconds, frequency
 from tidepanel.operators import grid, impute
-from tidepanel.operators.median import exact_median
+from tidepanel.operators.median import exact_median, order_key
 
 HOLES = [None, None, 1, None, 4, None, None]
 
@@ -194,6 +195,33 @@ def test_exact_median_with_ties_and_heavy_tail(spark):
         assert got == pytest.approx(float(np.median(values)), rel=1e-12)
 
 
+def test_exact_median_of_any_doubles(spark):
+    rng = np.random.default_rng(1)
+    odd = [1e300, -1e300, 5e-324, -5e-324, 2.2250738585072014e-308, 0.0, -0.0, 1.0, float("inf"), -float("inf"), 1.7e308, 1.6e308]
+    powers = [float(2.0**e) for e in range(-1074, 1024, 37)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1000, 1024, 41)]
+    wild = [float(x) for x in rng.integers(-(2**63), 2**63, 200).view(np.float64) if np.isfinite(x)]
+    for values in (odd, odd[:-1], powers, [-x for x in powers], wild, wild[:-1], [1e300] * 3 + [1.0, 2.0], [7.0], [1.7e308, 1.6e308]):
+        df = gridded(spark, a=values, b=[3.0, None])
+        got = {r.sid: r["P__median"] for r in exact_median(df, ["P"]).collect()}
+        low, high = sorted(values)[(len(values) - 1) // 2], sorted(values)[len(values) // 2]
+        assert got["a"] == low / 2 + high / 2 or got["a"] == (low + high) / 2
+        assert got["b"] == 3.0
+
+
+def test_order_key_keeps_the_order(spark):
+    values = sorted([0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 1e-5, 0.1, 1.0, 1.5, 2.0, 3.0, 1e300, 1.797e308, float("inf")])
+    rows = spark.createDataFrame([(x,) for x in values] + [(-x,) for x in values[1:]], "x double")
+    got = rows.select("x", order_key(F.col("x")).alias("k")).orderBy("x").collect()
+    assert all(a.k < b.k for a, b in zip(got, got[1:]))
+    bits = {r.x: r.k for r in got}
+    assert all(bits[x] == int(np.float64(x).view(np.int64)) for x in values)
+
+
+def test_no_sort_of_values_in_the_median(spark):
+    plan = exact_median(gridded(spark, a=[1, 2, 3]), ["P"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and not re.search(r"Sort \[[^\]]*\b(v|_lo)#", plan)
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError, match="Unknown imputation method"):
         impute.impute(gridded(spark, a=[1]), "spline")

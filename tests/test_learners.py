@@ -35,7 +35,7 @@ def test_whole_run_beats_naive(load, session, tmp_path):
     )
     failed = pipeline.run_strategies(load, ["forward", "spline"], run, str(tmp_path))
     assert list(failed) == ["spline"]
-    every = sinks.read_results(session, str(tmp_path))
+    every = sinks.read_results(session, f"{tmp_path}/results")
     results = every.where("strategy = 'forward'")
     assert every.count() == results.count()
     rmse = {r.model: (r.RMSE, r.lead) for r in results.collect()}
@@ -47,6 +47,26 @@ def test_whole_run_beats_naive(load, session, tmp_path):
     assert skill["Naive"] == 0 and skill["LinearWindow"] > 0.4
 
 
+def test_strategies_resume(load, session, tmp_path):
+    path, calls = str(tmp_path), []
+
+    def evaluate(filled):
+        calls.append(filled)
+        if len(calls) == 2:
+            raise RuntimeError("executor lost")
+        return filled.groupBy("sid").agg(F.count("P").alias("n"))
+
+    assert list(pipeline.run_strategies(load, ["forward", "mean", "spline"], evaluate, path)) == ["mean", "spline"]
+    assert pipeline.run_strategies(load, ["forward", "mean", "spline"], evaluate, path).keys() == {"spline"}
+    assert len(calls) == 3  # forward was done, mean came again, spline never got so far
+    rows = {r.strategy: r for r in pipeline.read_status(session, path).collect()}
+    assert {s: (r.state, r.attempts, r.rows) for s, r in rows.items()} == {
+        "forward": ("done", 1, 2), "mean": ("done", 2, 2), "spline": ("failed", 2, None),
+    }
+    assert "Unknown imputation method" in rows["spline"].error and rows["mean"].error is None
+    assert sinks.read_results(session, f"{path}/results").groupBy("strategy").count().count() == 2
+
+
 def test_trees_are_deterministic_and_roll_forward(load, matrix):
     def run():
         scored, models = learners.evaluate_trees(matrix, {"rf": forest()}, 1, ("P",), SPLIT)
@@ -119,6 +139,29 @@ def test_failed_trial_scores_worst(matrix):
     assert rows[0].RMSE > 0 and not rows[0].failed
 
 
+def test_sequence_space_repeats_and_fills_the_range(session):
+    base = session.createDataFrame([("a",), ("b",)], "sid string")
+    space = search.sequence_space(
+        base, 64, {"w": [64, 96, 128], "n": [4, 16], "rate": search.Range(1e-5, 1e-1, log=True), "drop": search.Range(0, 0.5)},
+        F.col("w") % (F.col("n") * 4) == 0,
+    )
+    rows = space.orderBy("sid", "trial").collect()
+    assert [r.trial for r in rows] == [*range(64)] * 2 and rows[:64][5][2:] == rows[64:][5][2:]
+    assert all(r.w % (r.n * 4) == 0 for r in rows)
+    drops = sorted(r["drop"] for r in rows[:64])
+    assert max(b - a for a, b in zip(drops, drops[1:])) < 0.03 and drops[-1] < 0.5
+    assert sum(r.rate < 1e-3 for r in rows[:64]) in range(28, 37)
+    for least, proposals in ((2, 20), (1, 10)):
+        with pytest.raises(Exception, match="trials within"):
+            search.sequence_space(base, 9, {"w": [1, 2]}, F.col("w") > least, proposals).collect()
+
+
+def test_radical_inverse(session):
+    got = session.range(1, 10).select(*[search.radical_inverse(F.col("id"), b) for b in (2, 3)]).collect()
+    assert [r[0] for r in got][:4] == [0.5, 0.25, 0.75, 0.125]
+    assert [r[1] for r in got][:3] == pytest.approx([1 / 3, 2 / 3, 1 / 9])
+
+
 def test_random_space_stays_in_range(session):
     base = session.range(1)
     space = search.random_space(

@@ -182,6 +182,36 @@ def feature_rows(
     return wide.where("_full").drop("_full")
 
 
+def islands(df: DataFrame, cols: Sequence[str] = ("P", "Q"), by: Sequence[str] = SERIES) -> DataFrame:
+    """Complete rows with ``island``, the first step of the run of successive steps they are in.
+
+    Operators called with ``by=(*by, "island")`` look at one island only: windows, targets and
+    baselines then never reach across a gap in time.  A run that crosses chunks is found over
+    chunk summaries: a chunk whose first step follows the last step before it goes on with
+    that chunk's last run.
+    """
+    rows = complete_rows(df, cols)
+    order = within_chunk(by).orderBy("k")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.lag("k").over(order).isNull() | (F.col("k") - F.lag("k").over(order) > 1)
+    marked = rows.withColumn("_own", F.max(F.when(opens, F.col("k"))).over(upto))
+    edge = marked.groupBy(*by, "chunk").agg(
+        F.min("k").alias("_first"), F.max("k").alias("_last"), F.max("_own").alias("_tail")
+    )
+    chunks = Window.partitionBy(*by).orderBy("chunk")
+    joins = F.col("_first") - F.lag("_last").over(chunks) == 1
+    # a chunk that is one run and goes on has no run of its own to hand down
+    edge = edge.withColumn("_joins", F.coalesce(joins, F.lit(False)))
+    fresh = F.when(~(F.col("_joins") & (F.col("_tail") == F.col("_first"))), F.col("_tail"))
+    edge = edge.withColumn("_fresh", fresh)
+    before = F.last("_fresh", True).over(chunks.rowsBetween(Window.unboundedPreceding, -1))
+    head = F.when(F.col("_joins"), before).otherwise(F.col("_first"))
+    edge = edge.withColumn("_head", head).select(*by, "chunk", "_first", "_head")
+    found = attach(marked, edge, by)
+    island = F.when(F.col("_own") == F.col("_first"), F.col("_head")).otherwise(F.col("_own"))
+    return found.withColumn("island", island).drop("_own", "_first", "_head")
+
+
 def complete_rows(df: DataFrame, cols: Sequence[str] = ("P", "Q")) -> DataFrame:
     return df.dropna(subset=list(cols))
 

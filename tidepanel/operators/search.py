@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.metrics import eval_metrics
@@ -13,6 +15,7 @@ from tidepanel.functions.numbers import uniform as draw
 from tidepanel.operators.baselines import baseline_predictions
 from tidepanel.operators.chunks import SERIES
 from tidepanel.operators.folds import RollingOrigin
+from tidepanel.sources.sinks import materialize
 
 log = logging.getLogger(__name__)
 
@@ -52,6 +55,82 @@ def random_space(
     return out.withColumns(dict(ranges or {}))
 
 
+def radical_inverse(index: Column, base: int) -> Column:
+    """The index mirrored at the point in ``base``: a low-discrepancy number in [0, 1).
+
+    Digits are added up as integers and divided once, so every engine gets the same bits.
+    Exact for indices below 2**31.
+    """
+    digits = 1
+    while base**digits < 1 << 31:
+        digits += 1
+    index = index.cast("bigint")
+    mirrored = [
+        F.pmod(F.floor(index / F.lit(base**k)), F.lit(base)) * F.lit(base ** (digits - 1 - k))
+        for k in range(digits)
+    ]
+    total = mirrored[0]
+    for term in mirrored[1:]:
+        total = total + term
+    return total / F.lit(float(base**digits))
+
+
+@dataclass(frozen=True)
+class Range:
+    """A continuous parameter; ``log`` spreads it evenly over orders of magnitude."""
+
+    low: float
+    high: float
+    log: bool = False
+
+    def at(self, u: Column) -> Column:
+        if not self.log:
+            return F.lit(self.low) + u * (self.high - self.low)
+        return F.exp(F.lit(math.log(self.low)) + u * (math.log(self.high) - math.log(self.low)))
+
+
+#: Bases of the sequence, one per parameter.
+PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29)
+
+
+def sequence_space(
+    base: DataFrame,
+    trials: int,
+    values: Mapping[str, Sequence | Range],
+    constraint: Column | None = None,
+    proposals: int | None = None,
+    start: int = 1,
+) -> DataFrame:
+    """``trials`` points of a Halton sequence for each row of ``base``: ``trial, parameters...``.
+
+    Points that break the ``constraint`` are passed over, so trials are numbered among the
+    accepted ones.  ``proposals`` bounds how far the sequence is searched (8 times the
+    trials); too few accepted ones raise.  Nothing is drawn: the same call gives the same
+    trials on every cluster.
+    """
+    if len(values) > len(PRIMES):
+        raise ValueError(f"at most {len(PRIMES)} parameters")
+    proposals = proposals or 8 * trials
+    out = base.withColumn("_i", F.explode(F.sequence(F.lit(start), F.lit(start + proposals - 1))))
+    for (name, options), prime in zip(values.items(), PRIMES):
+        u = radical_inverse(F.col("_i"), prime)
+        if isinstance(options, Range):
+            value = options.at(u)
+        else:
+            listed = F.array(*[F.lit(v) for v in options])
+            value = F.element_at(listed, F.floor(u * len(options)).cast("int") + 1)
+        out = out.withColumn(name, value)
+    out = out.withColumn("_ok", F.lit(True) if constraint is None else F.coalesce(constraint, F.lit(False)))
+    mine = Window.partitionBy(*base.columns)  # at most ``proposals`` rows
+    upto = mine.orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns(
+        {"trial": (F.count_if("_ok").over(upto) - 1).cast("int"), "_n": F.count_if("_ok").over(mine)}
+    )
+    message = F.format_string(f"only %s of {trials} trials within {proposals} proposals", F.col("_n"))
+    enough = F.when(F.col("_n") >= trials, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return out.where(enough).where(F.col("_ok") & (F.col("trial") < trials)).select(*base.columns, "trial", *values)
+
+
 def search_seasonal_length(
     rows: DataFrame,
     seasons: Sequence[int],
@@ -104,6 +183,7 @@ def search_trees(
     for i, params in enumerate(trials):
         try:
             part, _ = evaluate_trees(matrix, {str(i): build(**params)}, horizon, [target], split, by)
+            part = materialize(part, "trial")  # what fails while scoring is caught as well
         except Exception as error:  # noqa: BLE001  a failed trial is a bad trial
             log.warning("trial %s failed: %s", i, error)
             continue

@@ -320,9 +320,9 @@ CALENDAR = [
 
 def matrix_sql() -> str:
     cols = ("P", "Q", "discount", "tax")
-    cells = [f"lag({c}, {k}) OVER o AS {c}_lag_{k}" for c in cols for k in (1, 2, 3)]
+    cells = [f"lag({c}, {k}) OVER o AS {c}_lag_{k}" for c in cols for k in range(1, 25)]
     for c in cols:
-        for n in (6, 24):
+        for n in (6, 12, 24):
             for stat, fn in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")):
                 cells.append(
                     f"CASE WHEN count({c}) OVER w{n} = {n} THEN {fn}({c}) OVER w{n} END"
@@ -339,6 +339,7 @@ wide AS (
   SELECT *, {", ".join(cells)} FROM filled
   WINDOW o AS (PARTITION BY sid ORDER BY rn),
          w6 AS (PARTITION BY sid ORDER BY rn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING),
+         w12 AS (PARTITION BY sid ORDER BY rn ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING),
          w24 AS (PARTITION BY sid ORDER BY rn ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
 SELECT sid, ts, {", ".join(shown)} FROM wide WHERE {full}"""
 
@@ -436,6 +437,60 @@ two AS (
   UNION ALL
   SELECT s.sid, 1, y, my + c1 / v1 * (x1 - m1) FROM sample s JOIN model USING (sid) WHERE rn - 1 >= first)"""
 
+LAGS = ("P_lag_1", "P_lag_2", "Q_lag_1", "Q_lag_2")
+_LAGGED = ", ".join(f"lag({c}, {i}) OVER o AS {c}_lag_{i}" for c in ("P", "Q") for i in (1, 2))
+_FEATURES = " UNION ALL ".join(f"SELECT *, {i} AS feature, {c} AS x FROM cell" for i, c in enumerate(LAGS))
+
+STUMPS = f"""{FILLED},
+lagged AS (SELECT *, {_LAGGED} FROM filled WINDOW o AS (PARTITION BY sid ORDER BY rn)),
+samples AS (
+  SELECT sid, ts, P, Q, {", ".join(LAGS)}, row_number() OVER (PARTITION BY sid ORDER BY ts) - 1 AS rn,
+         count(*) OVER (PARTITION BY sid) AS n
+  FROM lagged WHERE P IS NOT NULL AND Q IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in LAGS)}),
+cell AS (
+  SELECT a.sid, a.ts, a.rn, {", ".join("a." + c for c in LAGS)}, h.horizon, t.target,
+         CASE t.target WHEN 'P' THEN b.P ELSE b.Q END AS y, a.n - h.horizon - 200 AS first
+  FROM samples a, (SELECT unnest([1, 12]) AS horizon) h, (SELECT unnest(['P', 'Q']) AS target) t, samples b
+  WHERE b.sid = a.sid AND b.rn = a.rn + h.horizon),
+long AS ({_FEATURES}),
+each AS (
+  SELECT fold, horizon, target, feature, x, count(*) AS c, sum(y) AS s
+  FROM long, (SELECT unnest(range(2)) AS fold) f WHERE rn < first + 100 * fold GROUP BY ALL),
+running AS (
+  SELECT *, sum(c) OVER w AS nl, sum(s) OVER w AS sl, lead(x) OVER o AS above,
+         sum(c) OVER a AS nt, sum(s) OVER a AS st FROM each
+  WINDOW o AS (PARTITION BY fold, horizon, target, feature ORDER BY x),
+         w AS (PARTITION BY fold, horizon, target, feature ORDER BY x ROWS UNBOUNDED PRECEDING),
+         a AS (PARTITION BY fold, horizon, target, feature)),
+split AS (
+  SELECT *, (x + above) / 2 AS threshold FROM running WHERE above IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY fold, horizon, target
+    ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, feature) = 1),
+stumps AS (
+  SELECT m.model, l.sid, CAST(l.horizon AS INTEGER) AS horizon, CAST(p.fold AS INTEGER) AS fold, l.target, l.ts, l.y,
+         CASE WHEN l.x <= p.threshold THEN sl / nl ELSE (st - sl) / (nt - nl) END AS yhat
+  FROM long l JOIN split p ON p.horizon = l.horizon AND p.target = l.target AND p.feature = l.feature
+   AND l.rn >= l.first + 100 * p.fold AND l.rn < l.first + 100 * (p.fold + 1),
+   (SELECT unnest(['RandomForest', 'GradientBoosting']) AS model) m)"""
+
+ISLANDS = f"""{GRID},
+marked AS (
+  SELECT sid, ts, P, Q, rn - row_number() OVER (PARTITION BY sid ORDER BY rn) AS island
+  FROM grid WHERE P IS NOT NULL AND Q IS NOT NULL),
+samples AS (
+  SELECT *, row_number() OVER (PARTITION BY sid, island ORDER BY ts) - 1 AS rn,
+         count(*) OVER (PARTITION BY sid, island) AS n FROM marked)"""
+
+
+def mirrored(index: str, base: int) -> str:
+    """Radical inverse of an index below 2**31."""
+    digits = 1
+    while base**digits < 1 << 31:
+        digits += 1
+    terms = [f"({index} // {base**k}) % {base} * {base ** (digits - 1 - k)}" for k in range(digits)]
+    return f"(({' + '.join(terms)}) / {base**digits}.0::DOUBLE)"
+
+
 USERS_FILLED = f"{USERS}, {grid_of(step='1 day')}, {interpolated()}"
 
 USER_ROLL = f"""{USERS_FILLED},
@@ -727,6 +782,46 @@ FROM walk WHERE last_ts + to_days(step) >= TIMESTAMP '2024-03-01'"""
     sql["recursive_forest"] = f"""WITH RECURSIVE {FOREST_ROLL}
 SELECT sid, step, last_ts + to_hours(step) AS ts, {r("yhat", digits=2)} FROM roll WHERE step > 0"""
 
+    sql["sequence_windows_time"] = f"""WITH {ISLANDS}
+SELECT a.sid, a.ts, CAST(st.step AS INTEGER) AS step, {r("x.P", "P")}, {r("x.Q", "Q")}, {r("t.P", "y")}
+FROM samples a, (SELECT unnest(range(6)) AS step) st, samples x, samples t
+WHERE x.sid = a.sid AND x.island = a.island AND x.rn = a.rn - 5 + st.step AND a.rn >= 5
+  AND t.sid = a.sid AND t.island = a.island AND t.rn = a.rn + 2"""
+    sql["baselines_time"] = (
+        f"WITH {ISLANDS}, {baseline(by='sid, island', horizons=(1,), tw=3, k=2, seasons=(4,), targets=('P',))},"
+        f" {scored('simple', full)} {show('results', full)}"
+    )
+    sql["stump_forecast"] = f"""WITH {STUMPS}
+SELECT sid, ts, model, horizon, fold, target, {r("y")}, {r("yhat")} FROM stumps"""
+    sql["eval_stumps"] = f"""WITH {STUMPS},
+shown AS (SELECT model, horizon, fold, target, {r("y")}, {r("yhat")} FROM stumps),
+{scored("shown", "model, horizon, fold, target")} {show("results", "model, horizon, fold, target")}"""
+    two = f"""{GRID}, {method("interpolate")[0]}, every AS (
+  SELECT 'forward' AS strategy, * FROM ({method("forward")[1]})
+  UNION ALL SELECT 'interpolate', * FROM ({method("interpolate")[1]}))"""
+    keys = "strategy, model, horizon, fold, target"
+    sql["strategy_run"] = f"""WITH {two},
+samples AS (
+  SELECT strategy, sid, ts, P, Q, row_number() OVER (PARTITION BY strategy, sid ORDER BY ts) - 1 AS rn,
+         count(*) OVER (PARTITION BY strategy, sid) AS n FROM every WHERE P IS NOT NULL AND Q IS NOT NULL),
+{baseline(by="strategy, sid", horizons=(1,), targets=("P",))}, {scored("simple", keys)},
+shown AS ({show("results", keys)}),
+status AS (SELECT * FROM (VALUES ('forward', 'done', 1), ('interpolate', 'done', 1), ('spline', 'failed', 2)) v(strategy, state, attempts))
+SELECT strategy, state, CAST(attempts AS INTEGER) AS attempts, coalesce(rows, 0) AS rows,
+       coalesce(model, '') AS model, coalesce(horizon, -1) AS horizon, coalesce(fold, -1) AS fold,
+       coalesce(target, '') AS target, shown.* EXCLUDE (strategy, model, horizon, fold, target)
+FROM status LEFT JOIN (SELECT strategy, count(*) AS rows FROM shown GROUP BY 1) USING (strategy)
+LEFT JOIN shown USING (strategy)"""
+    u = {base: mirrored("i", base) for base in (2, 3, 5, 7)}
+    sql["search_space_random"] = f"""WITH points AS (
+  SELECT i, [64, 128, 192, 256, 320][CAST(floor({u[2]} * 5) AS INTEGER) + 1] AS d_model,
+         [4, 8, 12, 16][CAST(floor({u[3]} * 4) AS INTEGER) + 1] AS nhead,
+         exp(ln(1e-5) + {u[5]} * (ln(1e-3) - ln(1e-5))) AS learning_rate, 0.05 + {u[7]} * (0.3 - 0.05) AS dropout
+  FROM (SELECT unnest(range(1, 401)) AS i)),
+accepted AS (SELECT *, CAST(row_number() OVER (ORDER BY i) - 1 AS INTEGER) AS trial FROM points WHERE d_model % nhead = 0)
+SELECT sid, trial, d_model, nhead, {r("learning_rate", digits=8)}, {r("dropout", digits=8)}
+FROM (SELECT DISTINCT event_type AS sid FROM events), accepted WHERE trial < 50"""
+
     sql["search_space"] = """SELECT sid, d_model, nhead
 FROM (SELECT DISTINCT event_type AS sid FROM events),
      (SELECT unnest([64, 128, 192, 256, 320]) AS d_model), (SELECT unnest([4, 8, 12, 16]) AS nhead)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from tidepanel.operators.features import feature_rows, history_depth, training_m
 from tidepanel.operators.folds import RollingOrigin
 from tidepanel.operators.forecast import last_step, recent_history, recursive_models
 from tidepanel.operators.impute import impute
-from tidepanel.sources.sinks import materialize, write_results
+from tidepanel.sources.sinks import exists, materialize, read_results, write_results
 
 log = logging.getLogger(__name__)
 
@@ -147,26 +149,55 @@ def run_evaluation(df: DataFrame, run: Evaluation, by: Sequence[str] = SERIES) -
     return eval_metrics(scored, ("model", "horizon", "lead", "fold", "target"), run.metrics)
 
 
+STATUS = "strategy string, state string, attempts int, started timestamp, seconds double, rows long, error string"
+
+
+def read_status(spark, path: str) -> DataFrame:
+    """One row per strategy tried under ``path``: the newest attempt."""
+    return spark.read.schema(STATUS).json(f"{path}/status/*")
+
+
 def run_strategies(
     grid: DataFrame,
     strategies: Sequence[str],
-    run: Evaluation,
+    run: Evaluation | Callable[[DataFrame], DataFrame],
     path: str,
     options: Mapping[str, dict] | None = None,
 ) -> dict[str, str]:
     """Evaluate every imputation strategy and write its results under ``path``.
 
-    ``read_results(path)`` reads them all, with the column ``strategy``.  A failing strategy does not stop the others; its error is returned by name.
+    ``run`` is an evaluation, or a function of the filled panel.  Each strategy commits its
+    own partition and a status row; a failing one does not stop the others and its error is
+    returned by name.  A second run under the same path skips what is done and tries again
+    what failed.  ``read_results(f"{path}/results")`` reads all results with the column
+    ``strategy``, ``read_status`` the status rows.
     """
-    failed = {}
+    spark, failed = grid.sparkSession, {}
+    evaluate = (lambda filled: run_evaluation(filled, run)) if isinstance(run, Evaluation) else run
+    freq = getattr(run, "freq", "H")
+    cols = ("P", "Q", *getattr(run, "exog", ()))
+    known = {}
+    if exists(spark, f"{path}/status"):
+        known = {r["strategy"]: r for r in read_status(spark, path).collect()}  # a row per strategy
     for name in strategies:
+        before = known.get(name)
+        if before is not None and before["state"] == "done":
+            continue
+        started, clock, error, rows = datetime.now(), time.perf_counter(), None, None
         try:
-            own = {"freq": run.freq} if name == "day_copy" else {}
+            own = {"freq": freq} if name == "day_copy" else {}
             own |= (options or {}).get(name, {})
-            filled = impute(grid, name, ("P", "Q", *run.exog), **own)
-            results = run_evaluation(filled, run)
-            write_results(results, f"{path}/strategy={name}", partition_by=())
-        except Exception as error:  # noqa: BLE001  strategies are independent of each other
-            log.warning("strategy %s failed: %s", name, error)
-            failed[name] = str(error)
+            filled = impute(grid, name, cols, **own)
+            target = f"{path}/results/strategy={name}"
+            write_results(evaluate(filled), target, partition_by=())
+            rows = read_results(spark, target).count()
+        except Exception as caught:  # noqa: BLE001  strategies are independent of each other
+            log.warning("strategy %s failed: %s", name, caught)
+            error = failed[name] = str(caught)
+        row = (
+            name, "failed" if error else "done", (before["attempts"] if before else 0) + 1, started,
+            time.perf_counter() - clock, rows, error,
+        )
+        status = spark.createDataFrame([row], STATUS).coalesce(1)
+        status.write.mode("overwrite").json(f"{path}/status/{name}")
     return failed

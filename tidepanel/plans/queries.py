@@ -399,7 +399,7 @@ def calendar_features(spark, sf_dir):
     return rounded(grid.with_time(wide).drop("chunk", "k", "P", "Q"), 6)
 
 
-MATRIX = {"max_lag": 3, "windows": (6, 24), "exog": ("discount", "tax")}
+MATRIX = {"max_lag": 24, "windows": (6, 12, 24), "exog": ("discount", "tax")}
 EXOG = ("P", "Q", "discount", "tax")
 
 
@@ -423,6 +423,24 @@ def sequence_windows(spark, sf_dir):
     return shown(long, "step", "x.P", "x.Q", F.col("P_h2").alias("y"))
 
 
+@query
+def sequence_windows_time(spark, sf_dir):
+    """Windows of the unfilled panel that never reach across a missing hour."""
+    rows = features.islands(hourly_grid(spark, sf_dir))
+    wide = features.sequence_windows(rows, length=6, horizons=(2,), by=("sid", "island"))
+    long = wide.select("sid", "k", "P_h2", F.posexplode("x").alias("step", "x"))
+    return shown(long, "step", "x.P", "x.Q", F.col("P_h2").alias("y"))
+
+
+@query
+def baselines_time(spark, sf_dir):
+    """Baselines whose sources lie in the same run of successive hours."""
+    rows = features.islands(hourly_grid(spark, sf_dir))
+    split = folds.RollingOrigin(3, 2, short="skip")
+    scored = baselines.baseline_predictions(rows, (1,), split, (4,), by=("sid", "island"))
+    return rounded(eval_metrics(scored, by=["sid", "model", "horizon", "fold", "target"]), 6)
+
+
 @query
 def horizon_target(spark, sf_dir):
     out = features.horizon_targets(sample_rows(spark, sf_dir), (12,), ("P", "Q"))
@@ -641,6 +659,20 @@ def search_space(spark, sf_dir):
     return search.grid_space(base, widths, F.col("d_model") % F.col("nhead") == 0)
 
 
+@query
+def search_space_random(spark, sf_dir):
+    """Reproducible trials over lists, a uniform and a log-uniform range, under a constraint."""
+    base = table(spark, sf_dir, "events").select(F.col("event_type").alias("sid")).distinct()
+    space = {
+        "d_model": [64, 128, 192, 256, 320],
+        "nhead": [4, 8, 12, 16],
+        "learning_rate": search.Range(1e-5, 1e-3, log=True),
+        "dropout": search.Range(0.05, 0.3),
+    }
+    out = search.sequence_space(base, 50, space, F.col("d_model") % F.col("nhead") == 0)
+    return rounded(out, 8)
+
+
 @query
 def search_seasonal_length(spark, sf_dir):
     out = search.search_seasonal_length(sample_rows(spark, sf_dir), SEASONS, split=ONE_FOLD)
@@ -713,6 +745,47 @@ def eval_trees(spark, sf_dir):
 WINDOW_SPLIT = folds.RollingOrigin(100, 2)
 
 
+# no bootstrap, all features, a bin for every value: the best single split, which SQL can find
+STUMP = {"max_depth": 1, "featureSubsetStrategy": "all", "maxBins": 4096}
+
+
+@query
+def stump_forecast(spark, sf_dir):
+    """Two folds, horizons 1 and 12, targets P and Q, by a forest and a boosted model of one split."""
+    matrix = features.training_matrix(
+        filled_once(spark, sf_dir), 2, (), (1, 12), ("P", "Q"), use_time=False, partial=True
+    )
+    matrix = sinks.materialize(matrix, "stump-matrix")
+    both = {
+        learners.RANDOM_FOREST: learners.random_forest(1, bootstrap=False, **STUMP),
+        learners.BOOSTED: learners.boosted_trees(1, **STUMP),
+    }
+    parts = [learners.evaluate_trees(matrix, both, h, ("P", "Q"), WINDOW_SPLIT)[0] for h in (1, 12)]
+    scored = parts[0].unionByName(parts[1])
+    return shown(scored, "model", "horizon", "fold", "target", "y", "yhat")
+
+
+@query
+def eval_stumps(spark, sf_dir):
+    return rounded(eval_metrics(stump_forecast(spark, sf_dir)), 6)
+
+
+@query
+def strategy_run(spark, sf_dir):
+    """A run over strategies, one of which fails, and the same run again: it tries only that one."""
+    grid_, path = sinks.materialize(hourly_grid(spark, sf_dir), "grid"), sinks.scratch_path(spark, "strategies-run")
+
+    def evaluate(filled):
+        rows = features.complete_rows(filled)
+        return eval_metrics(baselines.baseline_predictions(rows, (1,), SPLIT, (SEASON,)))
+
+    for _ in range(2):
+        pipeline.run_strategies(grid_, ["forward", "spline", "interpolate"], evaluate, path)
+    status = pipeline.read_status(spark, path).select("strategy", "state", "attempts", "rows")
+    out = rounded(status.join(sinks.read_results(spark, f"{path}/results"), "strategy", "left"), 6)
+    return out.fillna(0, ["rows"]).fillna(-1, ["horizon", "fold"]).fillna("", ["model", "target"])
+
+
 def _sequences(strategy: str) -> Query:
     def run(spark, sf_dir):
         scored, _ = moments.evaluate_windows(

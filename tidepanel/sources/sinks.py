@@ -35,6 +35,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 @contextmanager
 def released_shuffles(spark: SparkSession):
     """Queries that start in here give up their shuffle files when they end."""
