@@ -914,17 +914,21 @@ def _node(name: str, threshold: float, left, right) -> dict:
     return {"feature": _named(name), "threshold": threshold, "left": left, "right": right}
 
 
-# A small forest over the feature matrix, for a forecast that SQL can follow.
-SMALL_FOREST = (
-    _node("P_lag_1", 60.0, _node("P_roll_mean_6", 55.0, 51.5, 57.0), _node("P_lag_24", 65.0, 62.0, 71.5)),
-    _node("Q_lag_1", 3.0, 48.5, _node("hour_sin", 0.1, 66.0, 58.5)),
-)
+def small_forest() -> forests.Forest:
+    """A small forest over the feature matrix, for a forecast that SQL can follow."""
+    return forests.Forest.of(
+        (
+            _node("P_lag_1", 60.0, _node("P_roll_mean_6", 55.0, 51.5, 57.0), _node("P_lag_24", 65.0, 62.0, 71.5)),
+            _node("Q_lag_1", 3.0, 48.5, _node("hour_sin", 0.1, 66.0, 58.5)),
+        )
+    )
 
 
 @query
 def recursive_forest(spark, sf_dir):
-    given = forests.Forest.of(SMALL_FOREST)
-    return forests.recursive_forest(hourly_filled(spark, sf_dir), given, 72, TREE_LAGS, TREE_WINDOWS)
+    return forests.recursive_forest(
+        hourly_filled(spark, sf_dir), small_forest(), 72, TREE_LAGS, TREE_WINDOWS
+    )
 
 
 @query
