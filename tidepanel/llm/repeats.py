@@ -21,8 +21,8 @@ a third of all documents share is sent once per batch, not once per document.
 
 Rules for unusual rows: a null text is empty; texts under ``depth`` bytes have no
 windows; a null id is smaller than all others; rows that repeat an id are ordered by a
-24-bit tag of their text, and equal rows count as one and share their result; an empty
-table gives an empty result; other columns are ignored.
+64-bit digest of their text, and equal rows count as one and share their result; ids are
+integers; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ SETTLE = 8 << 20
 GOLDEN = U64(0x9E3779B97F4A7C15)
 LETTERS = byte_values(3), byte_values(4)
 PREFIX = Prefix()
-#: ``at`` packs tag, start and number of windows; this number marks a settled span.
-SPAN = 127
+#: ``at`` packs start and number of windows; this number marks a settled span.
+COUNT_BITS = 20
+SPAN = (1 << COUNT_BITS) - 1
 POSITION = U64((1 << 24) - 1)
 
 
@@ -92,7 +93,7 @@ def anchors(texts: list[bytes], depth: int):
     opens = np.flatnonzero(np.diff(anchor, prepend=-1) | (np.diff(starts, prepend=-2) != 1))
     first, anchor = starts[opens], anchor[opens]
     count = np.diff(np.append(opens, len(starts)))
-    shape = count.astype(U64) * U64(256) + (anchor - first).astype(U64)
+    shape = count.astype(U64) * U64(SPAN) + (anchor - first).astype(U64)
     context = mixed(PREFIX.ranges(sums, first, first + count + depth - 1) + shape * GOLDEN)
     owner = np.searchsorted(ends, first, side="right")
     return owner, first - (ends - size)[owner], count, grams[anchor], context
@@ -125,57 +126,60 @@ def repeats_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(tag: np.ndarray, start: np.ndarray, count) -> np.ndarray:
-    return tag << 39 | start << 7 | count
+def packed(start: np.ndarray, count) -> np.ndarray:
+    return start << COUNT_BITS | count
 
 
-TAG, START, COUNT = "shiftright(at, 39)", "cast(shiftright(at, 7) & 4294967295 as int)", "cast(at & 127 as int)"
-ROW = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
+START, COUNT = f"cast(shiftright(at, {COUNT_BITS}) as int)", f"cast(at & {SPAN} as int)"
+ROW = pa.schema([(c, pa.int64()) for c in ("one", "two", "doc", "row", "at")])
+ROW_DDL = "one long, two long, doc long, row long, at long"
 
 
-def _emit(doc: pa.Array, tag, owner, start, count, one, two, settled):
+def _emit(doc: pa.Array, row, owner, start, count, one, two, settled):
     """Rows for the shuffle; settled ones become spans under keys of their own."""
     who, low, high = joined_spans(owner[settled], start[settled], (start + count)[settled])
     keep = ~settled
     owner, start, count, one, two = (x[keep] for x in (owner, start, count, one, two))
-    own_key = mixed(mixed(tag[who].astype(U64) + GOLDEN * low.astype(U64)) + who.astype(U64))
+    own_key = mixed(mixed(row[who].view(U64) + GOLDEN * low.astype(U64)) + who.astype(U64))
     keys = np.concatenate([one.view(np.int64), own_key.view(np.int64)])
     others = np.concatenate([two.view(np.int64), high])
-    at = np.concatenate([packed(tag[owner], start, count), packed(tag[who], low, SPAN)])
-    docs = doc.take(pa.array(np.concatenate([owner, who])))
+    at = np.concatenate([packed(start, count), packed(low, SPAN)])
+    whose = np.concatenate([owner, who])
+    docs, rows = doc.take(pa.array(whose)), row[whose]
     for i in range(0, len(keys), 100_000):
         part = slice(i, i + 100_000)
         yield pa.record_batch(
-            [pa.array(keys[part]), pa.array(others[part]), docs[part], pa.array(at[part])], schema=ROW
+            [pa.array(keys[part]), pa.array(others[part]), docs[part], pa.array(rows[part]), pa.array(at[part])],
+            schema=ROW,
         )
 
 
 def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc, tag, body`` with the text's UTF-8 bytes."""
+    """``doc, row, body``: id, digest of the text, and the text's UTF-8 bytes."""
     body = text_of(text)
     return docs.select(
         F.col(key).cast("long").alias("doc"),
-        digest(body, 41).bitwiseAND(F.lit((1 << 24) - 1)).alias("tag"),
+        digest(body, 41).alias("row"),
         body.cast("binary").alias("body"),
     )
 
 
 def _in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows by id (null first) and tag, so that earlier rows come first."""
+    """Rows by id (null first) and digest, so that earlier rows come first."""
     return batch.take(
         pc.sort_indices(
-            batch, sort_keys=[("doc", "ascending"), ("tag", "ascending")], null_placement="at_start"
+            batch, sort_keys=[("doc", "ascending"), ("row", "ascending")], null_placement="at_start"
         )
     )
 
 
 def first_pass(rows: DataFrame, depth: int) -> DataFrame:
-    """``doc, tag, start, windows, end``: spans to remove, and rows for the second pass (``end`` null)."""
+    """``doc, row, start, windows, end``: spans to remove, and rows for the second pass (``end`` null)."""
 
     def scan(batches):
         for batch in batches:
             batch = _in_order(batch)
-            doc, tag, bodies = batch.column(0), np.asarray(batch.column(1)), batch.column(2).to_pylist()
+            doc, row, bodies = batch.column(0), np.asarray(batch.column(1), np.int64), batch.column(2).to_pylist()
             for low, high in chunks(bodies, SETTLE):
                 found = []
                 for a, b in chunks(bodies[low:high]):
@@ -186,11 +190,11 @@ def first_pass(rows: DataFrame, depth: int) -> DataFrame:
                 # a settled span reaches from its first window to the end of its last
                 reach = np.where(again, count + depth - 1, count)
                 yield from _emit(
-                    doc[low:high], tag[low:high], owner, start, reach, gram, context, again
+                    doc[low:high], row[low:high], owner, start, reach, gram, context, again
                 )
 
-    sent = rows.mapInArrow(scan, "one long, two long, doc long, at long")
-    order = ["two", F.col("doc").asc_nulls_first(), "at"]
+    sent = rows.mapInArrow(scan, ROW_DDL)
+    order = ["two", F.col("doc").asc_nulls_first(), "row", "at"]
     by_gram = Window.partitionBy("one")
     ranked = sent.withColumns(
         {
@@ -202,7 +206,7 @@ def first_pass(rows: DataFrame, depth: int) -> DataFrame:
     repeat = F.coalesce("repeat", F.lit(False))
     return ranked.where(span | repeat | F.col("several")).select(
         "doc",
-        F.expr(TAG).alias("tag"),
+        "row",
         F.expr(START).alias("start"),
         "windows",
         F.when(span, F.col("two"))
@@ -213,18 +217,18 @@ def first_pass(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def second_pass(rows: DataFrame, open_rows: DataFrame, depth: int) -> DataFrame:
-    """``doc, tag, start, end``: spans to remove among the windows left open by the first pass."""
-    listed = open_rows.groupBy("doc", "tag").agg(
+    """``doc, row, start, end``: spans to remove among the windows left open by the first pass."""
+    listed = open_rows.groupBy("doc", "row").agg(
         F.collect_list(F.struct("start", "windows")).alias("open")
     )
     wanted = _with(rows, listed, "inner").select(
-        "doc", "tag", "body", F.col("open.start").alias("starts"), F.col("open.windows").alias("counts")
+        "doc", "row", "body", F.col("open.start").alias("starts"), F.col("open.windows").alias("counts")
     )
 
     def scan(batches):
         for batch in batches:
             batch = _in_order(batch)
-            doc, tag, bodies = batch.column(0), np.asarray(batch.column(1)), batch.column(2).to_pylist()
+            doc, row, bodies = batch.column(0), np.asarray(batch.column(1), np.int64), batch.column(2).to_pylist()
             starts, counts = batch.column(3), batch.column(4)
             for low, high in chunks(bodies):
                 texts = bodies[low:high]
@@ -248,24 +252,24 @@ def second_pass(rows: DataFrame, open_rows: DataFrame, depth: int) -> DataFrame:
                 )
                 again = repeats_of(one, two)
                 reach = np.where(again, depth, 1)
-                yield from _emit(doc[low:high], tag[low:high], owner, start, reach, one, two, again)
+                yield from _emit(doc[low:high], row[low:high], owner, start, reach, one, two, again)
 
-    sent = wanted.mapInArrow(scan, "one long, two long, doc long, at long")
-    by_window = Window.partitionBy("one", "two").orderBy(F.col("doc").asc_nulls_first(), "at")
+    sent = wanted.mapInArrow(scan, ROW_DDL)
+    by_window = Window.partitionBy("one", "two").orderBy(F.col("doc").asc_nulls_first(), "row", "at")
     ranked = sent.withColumns({"nth": F.row_number().over(by_window), "windows": F.expr(COUNT)})
     span = F.col("windows") == SPAN
     return ranked.where(span | (F.col("nth") > 1)).select(
         "doc",
-        F.expr(TAG).alias("tag"),
+        "row",
         F.expr(START).alias("start"),
         F.when(span, F.col("two")).otherwise(F.expr(START) + depth).cast("int").alias("end"),
     )
 
 
 def _with(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
-    named = listed.withColumnsRenamed({"doc": "l_doc", "tag": "l_tag"})
+    named = listed.withColumnsRenamed({"doc": "l_doc", "row": "l_row"})
     return rows.join(
-        named, rows["doc"].eqNullSafe(named["l_doc"]) & (rows["tag"] == named["l_tag"]), how
+        named, rows["doc"].eqNullSafe(named["l_doc"]) & (rows["row"] == named["l_row"]), how
     )
 
 
@@ -273,6 +277,8 @@ def remove_repeats(
     docs: DataFrame, depth: int = DEPTH, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``doc, n_bytes, spans, kept``: removed spans as ``start, end`` and the remaining bytes."""
+    if not 1 < depth < SPAN:
+        raise ValueError(f"depth must be between 2 and {SPAN - 1}")
     rows = _documents(docs, key, text)
     first = materialize(first_pass(rows, depth), "repeats-first")
     second = materialize(
@@ -280,9 +286,9 @@ def remove_repeats(
     )
     spans = (
         first.where(F.col("end").isNotNull())
-        .select("doc", "tag", "start", "end")
+        .select("doc", "row", "start", "end")
         .unionByName(second)
-        .groupBy("doc", "tag")
+        .groupBy("doc", "row")
         .agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     )
     wanted = _with(rows, spans, "left").select("doc", "body", "starts", "ends")
