@@ -20,6 +20,7 @@ from tidepanel.llm import (
     topk,
 )
 from tidepanel.llm.common import table
+from tidepanel.sources.sinks import scratch_path
 
 QUERIES = {}
 
@@ -46,7 +47,8 @@ def op1_quality(spark, sf_dir):
 
 @query
 def op2_sharding(spark, sf_dir):
-    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+    path = f"{scratch_path(spark, 'shard-map')}/map"  # the map of a real corpus would stay
+    sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, map_path=path)
     return sharded.select(
         F.col("key").alias("doc_id"),
         "size",
@@ -57,6 +59,7 @@ def op2_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
         "map_version",
+        "pieces",
     )
 
 

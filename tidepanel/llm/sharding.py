@@ -4,12 +4,13 @@ Records are hashed into ``SLOTS`` virtual slots.  Bytes are summed per slot, and
 small versioned map says which shard each slot lives in.  A shard is looked up
 through the map, so rebalancing edits a few map rows and leaves the hash alone.
 
-Equal texts share a slot and thus a shard.  Only a text whose copies hold more
-than half a shard's fair share is spread over several slots, since no balanced map
-exists otherwise.
+Equal texts share a slot and thus a shard.  Only a text whose copies hold more than a
+whole shard's fair share is cut, into the fewest pieces of at most a share, since no
+balanced map exists otherwise; ``pieces`` says so.
 
 Rules for unusual rows: a null text counts as empty (size ``overhead``); a null id
-is an ordinary value; repeated rows each get a place; an empty table gives an
+is an ordinary value; repeated rows each get a place, and rows that are equal in all
+columns are told apart by the order in which they are read; an empty table gives an
 empty result and a map whose slots are all empty; other columns are ignored.
 """
 
@@ -29,7 +30,10 @@ OVERHEAD = 8
 def records(
     docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False
 ) -> DataFrame:
-    """One row per record: ``key, size, text_crc32, content``; with ``carry`` also ``row``, all its columns."""
+    """One row per record: ``key, size, text_crc32, content, nth``; with ``carry`` also ``row``, all its columns.
+
+    ``nth`` tells equal rows apart.
+    """
     body = text_of(text)
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     return docs.select(
@@ -38,37 +42,53 @@ def records(
         (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         digest(body, 1).alias("content"),
+        F.monotonically_increasing_id().alias("nth"),
     )
 
 
-def heavy_contents(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """``content, pieces``: texts whose copies outweigh half a shard, and the slots they are spread over.
+#: A heavy text's copies are cut at so many places.
+CUTS = 4096
+
+
+def _cut_of(rows: DataFrame) -> DataFrame:
+    """Adds ``cut``, a hash of the record."""
+    return rows.withColumn("cut", F.pmod(F.xxhash64(F.lit(3), "key", "text_crc32", "nth"), F.lit(CUTS)).cast("int"))
+
 
-    At most ``2 * shards`` texts can be this heavy.
+def heavy_contents(rows: DataFrame, shards: int) -> DataFrame:
+    """``content, pieces, starts`` of texts whose copies outweigh a shard's share.
+
+    Fewer than ``shards`` texts can be this heavy.  Records of one are summed by hash, and
+    the sums cut into pieces of equal bytes; ``starts`` has the first cut of each piece.
     """
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
-    half_share = max(total // (2 * shards), 1)
-    return (
+    share = max(-(-total // shards), 1)
+    heavy = (
         rows.groupBy("content")
         .agg(F.sum("size").alias("bytes"))
-        .where(F.col("bytes") > half_share)
-        .select(
-            "content",
-            F.least(F.lit(slots), F.ceil(F.col("bytes") * slots / max(total, 1)))
-            .cast("long")
-            .alias("pieces"),
-        )
+        .where(F.col("bytes") > share)
+        .withColumn("pieces", F.ceil(F.col("bytes") / share).cast("int"))
+    )
+    sums = _cut_of(rows.join(F.broadcast(heavy), "content")).groupBy("content", "bytes", "pieces", "cut").agg(
+        F.sum("size").alias("own")
     )
+    upto = Window.partitionBy("content").orderBy("cut")
+    middle = F.sum("own").over(upto) - F.col("own") / 2
+    piece = F.least(F.floor(middle * F.col("pieces") / F.col("bytes")), F.col("pieces") - 1)
+    first = sums.withColumn("piece", piece).groupBy("content", "pieces", "piece").agg(F.min("cut").alias("cut"))
+    return first.groupBy("content", "pieces").agg(F.sort_array(F.collect_list("cut")).alias("starts"))
 
 
 def with_slots(rows: DataFrame, heavy: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """Adds ``virtual_slot``; copies of heavy texts are salted by key."""
-    salt = F.pmod(F.xxhash64(F.lit(3), F.col("key"), "text_crc32"), F.col("pieces"))
-    place = digest(F.col("content"), 2) + F.coalesce(salt, F.lit(0))
+    """Adds ``virtual_slot`` and ``pieces``; a piece of a heavy text has a slot of its own."""
+    piece = F.greatest(F.size(F.filter("starts", lambda start: start <= F.col("cut"))) - 1, F.lit(0))
+    place = digest(F.col("content"), 2) + F.when(F.col("starts").isNotNull(), piece).otherwise(F.lit(0))
     return (
-        rows.join(F.broadcast(heavy), "content", "left")
+        _cut_of(rows)
+        .join(F.broadcast(heavy), "content", "left")
         .withColumn("virtual_slot", F.pmod(place, F.lit(slots)).cast("int"))
-        .drop("pieces")
+        .withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        .drop("starts", "cut")
     )
 
 
@@ -133,9 +153,10 @@ def new_map(sizes: DataFrame, shards: int) -> DataFrame:
 def rebalance(
     current: DataFrame, sizes: DataFrame, shards: int, tolerance: float = 0.01
 ) -> DataFrame:
-    """The next version of a map after sizes changed or shards were added.
+    """The next version of a map after sizes changed, or shards were added or taken away.
 
-    A slot leaves its shard only while that shard exceeds the mean by over ``tolerance``
+    Slots of shards that are no more move first, the heaviest ones to the lightest shard.
+    Any other slot leaves its shard only while that shard exceeds the mean by over ``tolerance``
     of it and the move lowers the larger of the two loads; every other slot stays.
     """
     joined = current.join(sizes, "virtual_slot", "left").fillna(0, ["bytes"])
@@ -144,6 +165,7 @@ def rebalance(
         F.array_sort(
             F.collect_list(
                 F.struct(
+                    (F.col("shard") < shards).alias("stays"),
                     (-F.col("bytes")).alias("less"),
                     F.col("virtual_slot").alias("s"),
                     F.col("shard").alias("at"),
@@ -161,9 +183,9 @@ def rebalance(
 
     def move(acc, x, mean):
         low = _lightest(acc["loads"])
-        here = F.element_at(acc["loads"], x["at"] + 1)
+        here = F.try_element_at(acc["loads"], x["at"] + 1)
         there = F.array_min(acc["loads"])
-        better = (here > mean * (1 + tolerance)) & (there - x["less"] < here)
+        better = ~x["stays"] | ((here > mean * (1 + tolerance)) & (there - x["less"] < here))
         shard = F.when(better, low).otherwise(x["at"])
         return F.struct(
             _add(_add(acc["loads"], x["at"], x["less"]), shard, -x["less"]).alias("loads"),
@@ -200,11 +222,11 @@ def load_map(spark, path: str, version: int | None = None) -> DataFrame:
 def places(rows: DataFrame, count: int, shards: int) -> DataFrame:
     """Adds ``slot``, the gapless place of a record within its shard, from 0.
 
-    A shard is cut into cells by hash of the key.  Places count up within a cell and
+    A shard is cut into cells by hash of the record.  Places count up within a cell and
     start after the earlier cells of the shard, so no task sorts a whole shard.
     """
     cells = cell_count(count, shards)
-    cut = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(5), F.col("key")), F.lit(cells)))
+    cut = rows.withColumn("cell", F.pmod(F.xxhash64(F.lit(5), "key", "content", "nth"), F.lit(cells)))
     before = Window.partitionBy("shard").orderBy("cell")
     starts = (
         cut.groupBy("shard", "cell")
@@ -213,13 +235,13 @@ def places(rows: DataFrame, count: int, shards: int) -> DataFrame:
         .drop("n")
     )
     inside = Window.partitionBy("shard", "cell").orderBy(
-        F.col("key").asc_nulls_first(), "text_crc32", "size"
+        F.col("key").asc_nulls_first(), "text_crc32", "size", "nth"
     )
     return (
-        cut.withColumn("nth", F.row_number().over(inside))
+        cut.withColumn("place", F.row_number().over(inside))
         .join(starts, ["shard", "cell"])
-        .withColumn("slot", F.col("start") + F.col("nth") - 1)
-        .drop("cell", "start", "nth")
+        .withColumn("slot", F.col("start") + F.col("place") - 1)
+        .drop("cell", "start", "place", "nth")
     )
 
 
@@ -232,14 +254,14 @@ def shard_documents(
     map_path: str | None = None,
     carry: bool = False,
 ) -> DataFrame:
-    """``key, size, text_crc32, content, virtual_slot, map_version, shard, slot`` of every record.
+    """``key, size, text_crc32, content, virtual_slot, pieces, map_version, shard, slot`` of every record.
 
     With ``carry`` each record's own columns come along as the struct ``row``.
     With ``map_path`` the newest map stored there is used, and where there is none
     yet the first version is stored; otherwise a new map serves this call alone.
     """
     rows = materialize(records(docs, key, text), "shard-records")
-    heavy = materialize(heavy_contents(rows, shards, slots), "heavy-contents")
+    heavy = materialize(heavy_contents(rows, shards), "heavy-contents")
     slotted = with_slots(rows, heavy, slots)
     sizes = slot_bytes(slotted, slots)
     if map_path is None:
