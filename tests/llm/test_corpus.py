@@ -76,11 +76,31 @@ def cut(df, depth=100):
     )
 
 
-@pytest.mark.parametrize("depth", [100, 12])
+@pytest.mark.parametrize("depth", [100, 12, 240, 300, 400])
 def test_repeats(session, docs, depth):
     same(cut(docs, depth), brute.repeats(corpus(), depth))
 
 
+def test_repeats_of_many_null_ids(session):
+    rng = random.Random(21)
+    passage = prose(rng, 40)
+    texts = [f"{i} {rng.random()} " + "".join(rng.choices("abcdefgh", k=120)) for i in range(20_000)]
+    texts[17], texts[9_000] = passage[:60] + passage, "x " + passage
+    rows = [(None, t) for t in texts] + [(1, "tail " + passage), (2, None)]
+    out = repeats.remove_repeats(frame(session, rows)).collect()
+    cut_rows = [r for r in out if r["spans"]]
+    size = len(passage.encode())
+    # exactly one null-id row keeps the passage; the other and the numbered one lose it
+    assert len(cut_rows) == 2 and {r["n_bytes"] - len(r["kept"]) for r in cut_rows} <= {size, size + 1}
+    assert sum(passage.encode() in r["kept"] for r in out) == 1
+
+
+def test_repeats_depth_is_checked(session, docs):
+    for depth in (0, 1, 1 << 20):
+        with pytest.raises(ValueError, match="depth"):
+            repeats.remove_repeats(docs, depth)
+
+
 def test_repeats_null_id_is_first_and_equal_rows_share(session):
     text = prose(random.Random(4), 60)
     rows = [(None, text), (5, text), (5, text), (7, "other " + text)]
@@ -187,6 +207,24 @@ def test_top_k_few_and_none(session):
     assert topk.top_k(frame(session, [], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_codes_of_a_long_word_take_linear_time(session):
+    import time
+
+    word = "".join(random.Random(1).choices("abcXYZ019+é_", k=1_000_000))
+    df = session.createDataFrame([(word,), ("",), ("aZ9=é",)], "w string")
+    start = time.time()
+    got = df.select("w", secretscan.codes(F.col("w")).alias("c")).collect()
+    assert time.time() - start < 20
+    assert got[1]["c"] == [] and got[2]["c"] == [0, 37, 35, 36, 37] and len(got[0]["c"]) == 1_000_000
+
+
+def test_secret_scan_of_a_long_word(session):
+    word = "A1b2" * 250_000
+    rows = [(i, f"the words of text {i} are plain", "s") for i in range(20)] + [(99, f"key = {word} end", "s"), (100, None, None)]
+    found = secretscan.scan(session.createDataFrame(rows, "doc_id long, text string, source string"), threshold=0.0)
+    assert [(r["key"], len(r["value"])) for r in found.collect()] == [(99, 1_000_000)]
+
+
 # ---- sharding and mixing ---------------------------------------------------------------------
 
 
@@ -213,6 +251,52 @@ def test_sharding_spreads_a_heavy_text(session):
     assert len(sizes) == 4 and max(sizes) <= 1.05 * min(sizes)
 
 
+@pytest.mark.parametrize("ids", [range(600), [None] * 600, [7] * 600])
+def test_sharding_keeps_groups_and_balances(session, ids):
+    heavy, group = "same text of some length " * 4, "a group below a share, 23 % of all"
+    texts = [heavy] * 300 + [group] * 240 + [f"text {i}" for i in range(1200)]
+    ids = [*ids, *range(600, 600 + len(texts) - 600)]
+    got = sharding.shard_documents(frame(session, [*zip(ids, texts)]), 4).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 4 and load.max() <= 1.05 * load.min()
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    cut = got[got["pieces"] > 1]
+    total = load.sum()
+    assert len(cut) == 300 and cut["shard"].nunique() == set(cut["pieces"]).pop() == -(-int(cut["size"].sum()) // -(-int(total) // 4))
+    whole = got[got["pieces"] == 1].groupby("content")["shard"].nunique()
+    assert (whole == 1).all() and len(whole) == 1201
+
+
+def test_cells_split_null_and_repeated_ids(session):
+    rows = session.createDataFrame([(None, "t")] * 20_000 + [(5, "u")] * 20_000, "doc_id long, text string")
+    narrow = sharding.records(rows).withColumn("shard", F.lit(0))
+    placed = sharding.places(narrow, 40_000, 1)
+    assert placed.select("slot").distinct().count() == 40_000
+    cells = narrow.groupBy(F.pmod(F.xxhash64(F.lit(5), "key", "content", "nth"), F.lit(64))).count()
+    assert cells.agg(F.max("count")).first()[0] < 900
+
+
+@pytest.mark.parametrize("path", [(4, 3, 5), (5, 3), (2, 7, 2)])
+def test_maps_grow_and_shrink(session, path):
+    rng = random.Random(3)
+    data = frame(session, [(i, prose(rng, rng.randint(1, 60))) for i in range(300)])
+    narrow = sharding.records(data)
+    sizes = sharding.slot_bytes(sharding.with_slots(narrow, sharding.heavy_contents(narrow, path[0]), 256), 256).cache()
+    weight = {r["virtual_slot"]: r["bytes"] for r in sizes.collect()}
+    current = sharding.new_map(sizes, path[0])
+    for shards in path[1:]:
+        old = {r["virtual_slot"]: r["shard"] for r in current.collect()}
+        current = sharding.rebalance(current, sizes, shards)
+        new = {r["virtual_slot"]: r["shard"] for r in current.collect()}
+        load = [sum(weight[s] for s in new if new[s] == k) for k in range(shards)]
+        assert sum(load) == sum(weight.values()) and max(load) <= 1.1 * min(load)
+        if shards < len(set(old.values())):
+            assert all(new[s] < shards for s in new)
+            stayed = [s for s in old if old[s] < shards]
+            assert sum(new[s] == old[s] for s in stayed) >= 0.8 * len(stayed)
+
+
 def test_map_versions(session, tmp_path):
     rng = random.Random(6)
     rows = [(i, prose(rng, rng.randint(1, 60))) for i in range(400)]
