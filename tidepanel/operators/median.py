@@ -27,15 +27,12 @@ def order_key(value: Column) -> Column:
     Found by exact arithmetic: dividing by a power of two loses nothing.
     """
     size = F.abs(value)
-    power = lambda e: F.pow(F.lit(2.0), e)
-    guess = F.floor(F.log2(size))
-    # the logarithm may round over a power of two
-    exponent = (
-        F.when(size < power(guess), guess - 1).when(size >= power(guess + 1), guess + 1).otherwise(guess)
-    )
-    fraction = (size / power(exponent) - 1) * float(1 << MANTISSA)
+    exponent = F.least(F.floor(F.log2(size)), F.lit(BIAS))
+    ratio = size / F.pow(F.lit(2.0), exponent)
+    # the logarithm may round over a power of two: then the next exponent is meant
+    part = F.when(ratio < 1, 2 * ratio - 2).when(ratio >= 2, ratio / 2).otherwise(ratio - 1)
     tiny = (size * 2.0**537 * 2.0**537).cast("bigint")
-    whole = F.shiftleft((exponent + BIAS).cast("bigint"), MANTISSA) + fraction.cast("bigint")
+    whole = F.shiftleft((exponent + BIAS).cast("bigint"), MANTISSA) + (part * float(1 << MANTISSA)).cast("bigint")
     infinite = F.lit((2 * BIAS + 1) << MANTISSA)
     bits = F.when(size < NORMAL, tiny).when(size == float("inf"), infinite).otherwise(whole)
     return F.when(value < 0, -bits).otherwise(bits)
