@@ -115,6 +115,29 @@ def test_fast_ids_are_those_of_the_file():
         assert fast.encode(" " + (text or "")) == slow.encode(" " + (text or ""), add_special_tokens=False).ids
 
 
+# ---- pipeline stages on unusual tables --------------------------------------------------------
+
+
+@pytest.mark.parametrize("rows, kept", [([], 0), ([
+    (None, None, None, None, None), (None, "", None, None, None), (1, "a b c", None, None, 3), (1, "a b c", None, None, 3),
+    (2, None, "en", None, 0),
+], None)])
+def test_stages_on_empty_and_odd_tables(session, rows, kept):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = session.createDataFrame(rows, session.read.parquet(f"{sf}/documents.parquet").schema)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(session, docs, sf)
+        assert set(docs.columns) <= set(out.columns)
+        counts[name] = out.count()
+    if kept is not None:
+        assert set(counts.values()) == {kept}
+    else:
+        assert (counts["near_copies"], counts["decontamination"], counts["sharding"]) == (2, 5, 5)
+
+
 # ---- anchors ---------------------------------------------------------------------------------
 
 
