@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run` writes
 every result as Parquet and hands the reread table to the next stage.  All stages but
 the last keep the columns of ``documents``.
+
+Rules for unusual rows, in every stage: a null text counts as empty, a null source is a
+source of its own, a null id is an ordinary value; an empty table gives an empty result.
+Texts without words are near copies of each other; rows that are equal in id and text
+count once behind that stage.  Further columns stay, whatever their names.
 """
 
 from __future__ import annotations
