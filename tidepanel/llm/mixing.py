@@ -2,8 +2,9 @@
 
 Each source is one long stream of words: its documents in pseudorandom order, cut
 into blocks of ``block`` words.  The mix is a set of slots.  A source gets so many
-slots as its target needs, the slots fall multinomially on the output shards, and
-slot ``k`` of a source takes the block to which a pseudorandom permutation of the
+slots as its target needs.  How many of them each output shard gets is drawn first, as
+a multinomial count, and a shard's slots of a source are the next so many numbers.
+Slot ``k`` of a source takes the block to which a pseudorandom permutation of the
 source's block numbers sends ``k``.  One pass over the permutation uses every block
 once, a second pass (another permutation) uses it twice.  Slots and blocks meet by
 block number.
@@ -149,34 +150,45 @@ def permuted(k: Column, n: Column, seed: Sequence[Column], rounds: int = ROUNDS)
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k, step)
 
 
-def mix_slots(plan: DataFrame, shards: int, seed: int) -> DataFrame:
-    """``sk, k, out_shard, pass, block`` for every slot of the mix.
+def in_spans(ranges: DataFrame, first: Column, n: Column) -> DataFrame:
+    """Rows with every number ``k`` from ``first`` on, ``n`` in all, dealt to many tasks in spans."""
+    total = ranges.agg(F.sum(n)).first()[0] or 0
+    # a few small rows grow into much work, which their size does not tell Spark
+    tasks = min(max(-(-total // (SPAN * SPANS_A_TASK)), 1), MOST_TASKS)
+    last = F.floor((n - 1) / SPAN).cast("long")
+    spans = ranges.where(n > 0).withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    upto = first + F.least((F.col("span") + 1) * SPAN, n) - 1
+    return (
+        spans.repartition(tasks, *spans.columns)
+        .withColumn("k", F.explode(F.sequence(first + F.col("span") * SPAN, upto)))
+        .drop("span")
+    )
+
+
+def shard_counts(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """``sk, blocks, out_shard, n, first``: the multinomial draw of each source.
 
-    ``plan`` has ``sk, blocks, slots`` per source.  Slots are made in spans dealt to
-    many tasks before they are written out one by one.
+    ``n`` slots of the source fall on the shard, and they are numbered from ``first``.
     """
-    spans = plan.where(F.col("slots") > 0).select(
-        "sk", "blocks", "slots",
-        F.explode(
-            F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SPAN).cast("long"))
-        ).alias("span"),
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(17), "sk", "k"), F.lit(shards)).cast("int")
+    drawn = materialize(
+        in_spans(plan.select("sk", "blocks", "slots"), F.lit(0).cast("long"), F.col("slots"))
+        .groupBy("sk", "blocks", draw.alias("out_shard"))
+        .agg(F.count(F.lit(1)).alias("n")),
+        "mix-counts",
+    )
+    # a source has one row per shard here
+    upto = Window.partitionBy("sk").orderBy("out_shard")
+    return drawn.withColumn("first", F.sum("n").over(upto) - F.col("n"))
+
+
+def mix_slots(counts: DataFrame, seed: int) -> DataFrame:
+    """``sk, k, out_shard, pass, block`` for every slot of the mix, from :func:`shard_counts`."""
+    slots = in_spans(counts, F.col("first"), F.col("n")).withColumn(
+        "pass", F.floor(F.col("k") / F.col("blocks")).cast("long")
     )
-    total = plan.agg(F.sum("slots")).first()[0] or 0
-    # a few small rows grow into much work, which their size does not tell Spark
-    tasks = min(max(-(-total // (SPAN * SPANS_A_TASK)), 1), MOST_TASKS)
-    dealt = spans.repartition(tasks, "sk", "span")
-    slots = dealt.select(
-        "sk", "blocks",
-        F.explode(
-            F.sequence(
-                F.col("span") * SPAN,
-                F.least((F.col("span") + 1) * SPAN, F.col("slots")) - 1,
-            )
-        ).alias("k"),
-    ).withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long"))
     return slots.select(
-        "sk", "k", "pass",
-        F.pmod(F.xxhash64(F.lit(seed), F.lit(17), "sk", "k"), F.lit(shards)).cast("int").alias("out_shard"),
+        "sk", "k", "pass", "out_shard",
         permuted(
             F.pmod(F.col("k"), F.col("blocks")), F.col("blocks"),
             (F.lit(seed), F.col("sk"), F.col("pass")),
@@ -220,7 +232,8 @@ def mix(
         ),
         "mix-plan",
     )
-    slots = mix_slots(plan, shards, seed)
+    counts = materialize(shard_counts(plan, shards, seed), "mix-draw")
+    slots = mix_slots(counts, seed)
     first = F.floor(F.col("start") / block).cast("long")
     last = F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
     low = F.greatest("start", F.col("block") * block)
