@@ -141,6 +141,22 @@ def test_leaks(session, docs):
     assert total == {i: n for i, _, n, *_ in brute.leaks(rows, items) if n}
 
 
+def test_leaks_of_texts_that_repeat_few_words(session):
+    rng = random.Random(31)
+    text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    rows = [(i, text(rng.randrange(45))) for i in range(120)] + [(500, "a " * 60), (501, None), (502, "a " * 9)]
+    items = [(f"i{i}", text(rng.choice([3, 8, 9, 10, 11, 14]))) for i in range(9)] + [("long", "a " * 30)]
+    found, _ = decontaminate.decontaminate(
+        frame(session, rows, "doc_id long, text string"), frame(session, items, "item_id string, text string")
+    )
+    same(leaks_of(found), brute.leaks(rows, items))
+
+
+def test_bitmap_grows_with_the_benchmark():
+    sizes = [decontaminate.bitmap_bits(n) for n in (0, 1 << 19, (1 << 19) + 1, 1 << 40)]
+    assert sizes == [decontaminate.BITS, 1 << 23, 1 << 24, decontaminate.MOST_BITS]
+
+
 def test_leaks_empty_benchmark(session, docs):
     found, _ = decontaminate.decontaminate(docs, frame(session, [], "item_id long, text string"))
     same(leaks_of(found), brute.leaks(corpus(), []))
@@ -196,6 +212,8 @@ def vectors(n=400, dims=6):
 
 def test_top_k(session, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 50)
+    monkeypatch.setattr(topk, "LANE", 3)
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 2)
     got = topk.top_k(frame(session, vectors(), "vec_id long, embedding array<double>"), pivots=9)
     usable = [(i, v) for i, v in vectors() if v is None or len(v) == 6]
     same(got, brute.nearest(usable))
@@ -352,6 +370,21 @@ def test_mixing(session):
     assert tuples(again.select(cols)) == tuples(documents.select(cols))
 
 
+def test_shard_counts_add_up_to_the_slots(session):
+    plan = frame(session, [("=a", 40, 10_000), ("=b", 7, 9), ("=c", 3, 0)], "sk string, blocks long, slots long")
+    counts = mixing.shard_counts(plan, 24, 7).toPandas()
+    assert counts.groupby("sk")["n"].sum().to_dict() == {"=a": 10_000, "=b": 9}
+    a = counts[counts["sk"] == "=a"].sort_values("out_shard")
+    assert len(a) == 24 and a["n"].nunique() > 1 and abs(a["n"] - 10_000 / 24).max() < 150
+    assert a["first"].tolist() == (a["n"].cumsum() - a["n"]).tolist()
+    slots = mixing.mix_slots(mixing.shard_counts(plan, 24, 7), 7).toPandas()
+    assert sorted(slots[slots["sk"] == "=a"]["k"]) == list(range(10_000))
+    drawn = slots.groupby(["sk", "out_shard"]).size().to_dict()
+    assert drawn == counts.set_index(["sk", "out_shard"])["n"].to_dict()
+    # every pass over the blocks uses each block once
+    assert slots[slots["sk"] == "=a"].groupby("block").size().tolist() == [250] * 40
+
+
 def test_permutation_is_one(session):
     for n in (1, 2, 7, 100, 257):
         df = session.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), (F.lit(3),)).alias("x"))
