@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,11 @@ def test_forecast_and_results_round_trip(spark, tmp_path):
     res = df.select(F.lit("s").alias("strategy"), "yhat")
     sinks.write_results(res, str(tmp_path / "r"))
     assert sinks.read_results(spark, str(tmp_path / "r")).first().strategy == "s"
+
+
+@pytest.mark.parametrize("master", ["yarn", "k8s://https://host:443", "spark://host:7077", "local-cluster[2,1,512]"])
+def test_clusters_must_name_a_shared_folder(master):
+    session = lambda conf: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.shared_dir(session({}))
+    assert sinks.shared_dir(session({"spark.checkpoint.dir": "s3a://bucket/x"})) == "s3a://bucket/x"

@@ -14,11 +14,13 @@ from tidepanel.functions import numbers
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    A session without the setting gets a folder below its warehouse, which is
-    shared as well.
+    A local session without the setting gets a folder below its warehouse; on a
+    cluster that folder might be one machine's own, so the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         folder = f"{warehouse}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
