@@ -257,3 +257,40 @@ def alignment(docs, a_file, b_file):
             sum(corpus[p] for p in links), sha(text),
         ))
     return out
+
+
+def word_list(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(AZ))
+
+
+def shingles(w, k=5):
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def containment(text, template, start, end, widen=True):
+    """Share of the template's shingles in the words ``start`` to ``end``, widened by half the template."""
+    w, x = word_list(text), word_list(template)
+    if len(x) < 5:
+        return float(w[start : start + len(x)] == x)
+    more = len(x) // 2 if widen else 0
+    theirs = shingles(x)
+    return len(theirs & shingles(w[max(0, start - more) : end + more])) / len(theirs)
+
+
+def licenses(docs, templates, share=0.8):
+    """(doc, license) that must be found (a window at some start), and that may be (a widened one)."""
+    must, may = set(), set()
+    wanted = [(name, template, word_list(template)) for name, template in templates]
+    for i, text in docs:
+        w = word_list(text)
+        held = shingles(w)
+        for name, template, x in wanted:
+            n, theirs = len(x), shingles(x)
+            if not n or (n < 5 and len(w) < n) or (n >= 5 and len(held & theirs) < share * len(theirs)):
+                continue
+            for s in range(max(len(w) - n, 0) + 1):
+                if containment(text, template, s, s + n, widen=False) >= share:
+                    must.add((i, name))
+                if containment(text, template, s, s + n) >= share:
+                    may.add((i, name))
+    return must, may

@@ -431,24 +431,6 @@ def test_attention_gradient():
         assert g[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
 
 
-def test_licenses(session):
-    rng = random.Random(7)
-    rows = [(i, prose(rng, 80)) for i in range(30)]
-    planted = set()
-    for n, (name, text) in enumerate(licenses.TEMPLATES.items()):
-        words = text.split()
-        if len(words) > 30:
-            words[len(words) // 2] = "changed"  # five of the shingles go
-        rows.append((100 + n, f"{prose(rng, 33)}\n{' '.join(words).upper()}\n{prose(rng, 40)}"))
-        planted.add((100 + n, name))
-    rows += [(200, ""), (201, None), (None, licenses.TEMPLATES["MIT"]), (202, "Released under the")]
-    planted.add((None, "MIT"))
-    found = licenses.find_licenses(frame(session, rows), licenses.templates(session))
-    assert {(r["key"], r["license"]) for r in found.collect()} >= planted
-    extra = {(r["key"], r["license"]) for r in found.collect()} - planted
-    assert all(i is None or i >= 100 for i, _ in extra)  # a notice may hold a shorter one
-
-
 def test_secrets(session):
     rng = random.Random(8)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
