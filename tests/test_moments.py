@@ -139,6 +139,20 @@ def test_saved_models_roll_every_series_forward(panel, tmp_path, session):
     assert {r.yhat for r in without.where("sid = 'b'").collect()} == {None}
 
 
+def test_an_explosive_model_rolls_past_what_a_decimal_holds(spark):
+    rows = [("a", 0, [100.0], [1.0]), ("b", 0, [100.0], [1.0])]
+    history = spark.createDataFrame(rows, "sid string, k long, P_hist array<double>, Q_hist array<double>")
+    own = spark.createDataFrame(
+        [("a", [1.7, 0.0], 0.0), ("b", [0.5, 0.0], 50.0)], "sid string, weights array<double>, intercept double"
+    )
+    out = forecast.recursive_models(history, own, 1, 72, freq="D").collect()
+    got = {(r.sid, r.step): r.yhat for r in out}
+    assert len(got) == 144 and got["a", 72] > 1e16
+    for step in range(1, 73):
+        assert got["a", step] == pytest.approx(100 * 1.7**step, rel=1e-12, abs=0.0051)
+        assert got["b", step] == 100.0
+
+
 # ---- flat forests ----------------------------------------------------------------------------
 
 

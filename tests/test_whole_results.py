@@ -129,3 +129,15 @@ def test_forecast_over_dates_reports_the_gap(spark):
     out = forecast.over_range(history, forecast.mean_reverting, "2024-01-03", "2024-01-03")
     assert {(r.sid, r.gap) for r in out.collect()} == {("a", 8), ("b", 18)}
     assert out.groupBy("sid").count().where("count <> 24").count() == 0
+
+
+def test_rounding_equals_decimals_and_leaves_large_values_alone(spark):
+    tie = (F.floor(F.rand(3) * 2e6 - 1e6) + 0.5) / F.pow(F.lit(10.0), F.floor(F.rand(4) * 9))
+    wide = F.randn(5) * F.pow(F.lit(10.0), F.floor(F.rand(6) * 30) - 15)
+    df = spark.range(20_000).select(F.explode(F.array(tie, wide)).alias("x")).where("abs(x) < 9e15")
+    for digits in (0, 2, 6, 8, 9):
+        exact = F.round(F.col("x").cast("decimal(28,12)"), digits).cast("double")
+        assert df.where(~rounded("x", digits).eqNullSafe(exact)).count() == 0
+    large = [2.0**53, 1e16, -3.5e250, float("nan"), float("inf"), -0.001]
+    df = spark.createDataFrame([(x,) for x in large], "x double")
+    assert [r[0] for r in df.select(rounded("x", 2)).collect()] == [2.0**53, 1e16, -3.5e250, None, None, 0.0]

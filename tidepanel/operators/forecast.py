@@ -263,7 +263,8 @@ def mean_reverting(
         value = F.element_at(values, -1) * 0.7 + F.col("_mean") * 0.3
         if noise:
             value = value + normal(F.lit(seed) + step - 2, *by, "k") * F.col("_scale")
-        return F.when(step == 1, F.element_at(values, -1)).otherwise(rounded(value, 2))
+        value = bound(value, lambda x: rounded(x, 2))
+        return F.when(step == 1, F.element_at(values, -1)).otherwise(value)
 
     start = F.when(F.col("P_hist").isNotNull(), F.array(first))
     return _rolled(df, start, advance, steps, skip, freq, by)
