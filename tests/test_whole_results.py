@@ -1,5 +1,7 @@
 """Nothing is lost or ranked without a score: short, constant, all-NULL and keyless series."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from frames import at, column, gridded, panel
@@ -141,3 +143,20 @@ def test_rounding_equals_decimals_and_leaves_large_values_alone(spark):
     large = [2.0**53, 1e16, -3.5e250, float("nan"), float("inf"), -0.001]
     df = spark.createDataFrame([(x,) for x in large], "x double")
     assert [r[0] for r in df.select(rounded("x", 2)).collect()] == [2.0**53, 1e16, -3.5e250, None, None, 0.0]
+
+
+def test_panel_of_one_file_is_generated_by_many_tasks(spark):
+    sids = spark.range(0, 60, 1, 1).select((F.col("id") % 50).cast("string").alias("sid"))
+    sids = sids.unionByName(spark.createDataFrame([(None,)], "sid string")).coalesce(1)
+    out = generator.generate_panel(sids, 8, noise=False)
+    assert out.columns == ["sid", "ts", "P", "Q"]
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 8 and max(r["count"] for r in tasks) <= 2 * 61 * 192 / 8
+    # repeated and NULL keys keep their rows
+    assert out.where("sid = '3'").count() == 2 * 192 and out.where("sid IS NULL").count() == 192
+    first = dt.datetime(2023, 1, 1)
+    rows = {r.ts: r for r in out.where("sid = '11'").collect()}
+    assert sorted(rows) == [first + dt.timedelta(hours=h) for h in range(192)]
+    for ts, r in rows.items():
+        load = 100 + 30 * np.sin(2 * np.pi * ts.hour / 24) - 10 * (ts.weekday() >= 5)
+        assert (r.P, r.Q) == pytest.approx((load, 50 + 0.4 * (load - 100)))
