@@ -86,6 +86,47 @@ def test_alignment_in_parts_lanes_and_batches(session, monkeypatch):
     same(aligned(frame(session, rows)), brute.alignment(rows, alignment.A_FILE, alignment.B_FILE))
 
 
+def test_alignment_rows_stay_short(session, monkeypatch):
+    monkeypatch.setattr(alignment, "ENTRIES", 50)
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 20)) for i in range(300)]
+    docs = frame(session, rows).coalesce(1)
+    stored = alignment.aligned(docs, alignment.A_FILE, alignment.B_FILE, "doc_id", "text").collect()
+    own, entries = [r for r in stored if r["at"] is not None], [r for r in stored if r["at"] is None]
+    assert sorted(r["doc"] for r in own) == list(range(300)) and len({r["batch"] for r in stored}) == 1
+    assert all(len(r["at"]) <= r["n_links"] for r in own)
+    assert len(entries) > 2 and max(len(r["pair"]) for r in entries) == 50
+
+
+def test_alignment_with_counts_in_many_arrow_batches(session, monkeypatch):
+    monkeypatch.setattr(alignment, "ENTRIES", 5)
+    monkeypatch.setattr(alignment, "BATCH", 4000)
+    rows, name = odd_texts(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = session.conf.get(name)
+    session.conf.set(name, "7")
+    try:
+        same(aligned(frame(session, rows)), brute.alignment(rows, alignment.A_FILE, alignment.B_FILE))
+    finally:
+        session.conf.set(name, was)
+
+
+def test_alignment_merge_holds_little_memory():
+    import tracemalloc
+
+    with open(alignment.A_FILE, "rb") as a, open(alignment.B_FILE, "rb") as b:
+        aligner = alignment.Aligner(a.read(), b.read())
+    rng = random.Random(12)
+    words = [prose(rng, 1) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(600)]
+    assert sum(map(len, texts)) > 1.2e6
+    tracemalloc.start()
+    try:
+        aligner.batch(texts)
+        assert tracemalloc.get_traced_memory()[1] < 130e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_pair_table(session):
     rows = [(1, "one two"), (2, "one two one"), (3, "")]
     pairs = alignment.align(frame(session, rows))[1].collect()

@@ -12,7 +12,9 @@ cuts, so the number of steps stays bounded.
 
 Pairs are counted over the corpus by documents that hold them linked.  A batch of documents
 writes its distinct pairs once, as a dictionary, and its documents refer to that; counts
-travel back per batch and pair, not per document and pair.
+travel back per batch and pair, not per document and pair.  Every document is a row of its
+own and a dictionary is many short rows, so no row grows with a batch; where counts meet
+documents, a sort puts those of a batch before its documents and one pass reads both.
 
 Long texts are encoded in parts that begin at a single space between other characters:
 both tokenizers always part there.  Whether the tokens spell the text is decided for the
@@ -34,6 +36,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +50,11 @@ FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = f"{FOLDER}/byte_bpe_50k.json", f"{FOLDER}/piece_bpe_32k.model"
 #: Characters of one part of a long text, of the parts merged together, and of the
 #: documents that share a dictionary of pairs.
-PART, MERGE, BATCH = 1 << 18, 1 << 21, 4 << 20
+PART, MERGE, BATCH = 1 << 18, 1 << 19, 4 << 20
 #: A tokens of one lane, and how far from there a cut is looked for.
-LANE, LOOK = 1024, 512
+LANE, LOOK = 512, 512
+#: Pairs of a dictionary in one stored row.
+ENTRIES = 1024
 # Fixed value: how the byte-level file splits text into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_BLANKS = re.compile(r"\s{500}")
@@ -61,7 +66,6 @@ class ByteLevel:
 
     def __init__(self, source: bytes) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -72,12 +76,16 @@ class ByteLevel:
         ranks = {bytes(byte[c] for c in t): i for t, i in parsed["model"]["vocab"].items() if t not in special}
         self.spelling = {i: t for t, i in ranks.items()}
         self._fast = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        self._slow = Tokenizer.from_str(source.decode())
-        self._slow.encode_special_tokens = True
+        self._source, self._slow = source, None
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; long runs of blanks overrun the stack of the fast library."""
         if LONG_BLANKS.search(text):
+            if self._slow is None:  # few texts need it, and it holds the vocabulary once more
+                from tokenizers import Tokenizer
+
+                self._slow = Tokenizer.from_str(self._source.decode())
+                self._slow.encode_special_tokens = True
             return self._slow.encode(text, add_special_tokens=False).ids
         return self._fast.encode_ordinary(text)
 
@@ -263,55 +271,64 @@ class Aligner:
             open_tail[i] = "".join(shown[low:high])
 
 
+#: A row is a document, or, where ``at`` is null, pairs of its batch's dictionary from ``first`` on.
 STORED = (
-    "batch long, doc array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-    "groups array<string>, first array<int>, at array<int>, times array<int>, pair array<long>, docs array<int>"
+    "batch long, doc long, n_a long, n_b long, n_groups long, n_links long, groups string, "
+    "at array<int>, times array<int>, first int, pair array<long>, docs array<int>"
+)
+SCHEMA = pa.schema(
+    [(c, pa.int64()) for c in ("batch", "doc", "n_a", "n_b", "n_groups", "n_links")]
+    + [("groups", pa.string()), ("at", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
+    + [("first", pa.int32()), ("pair", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32()))]
 )
 
 
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    """``n`` rows as stored; a column is an array, or flat values and where each row's begin, or null."""
+    out = []
+    for field in SCHEMA:
+        value = columns.get(field.name)
+        if isinstance(value, tuple):
+            flat, first = value
+            flat = pa.array(flat, field.type.value_type)
+            value = pa.ListArray.from_arrays(pa.array(first, pa.int32()), flat)
+        elif not isinstance(value, pa.Array):
+            value = pa.nulls(n, field.type) if value is None else pa.array(value, field.type)
+        out.append(value)
+    return pa.record_batch(out, schema=SCHEMA)
+
+
 def aligned(docs: DataFrame, a_file: str, b_file: str, key: str, text: str) -> DataFrame:
-    """One row per batch of documents: their figures, its distinct pairs, and who links which."""
+    """Documents with their figures and the dictionary entries they link; the dictionary of each batch."""
     with open(a_file, "rb") as a, open(b_file, "rb") as b:  # a few MB: the size of the vocabularies
         sources = docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))
 
     def scan(batches):
         aligner, number = Aligner(*sources.value), TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in chunks(texts, BATCH):
-                found = aligner.batch(texts[low:high])
+            ids, texts = batch.columns
+            sizes = [range(x) for x in pc.utf8_length(texts).to_pylist()]
+            for low, high in chunks(sizes, BATCH):
+                found = aligner.batch(texts[low:high].to_pylist())
                 pair, at = np.unique(found["pair"], return_inverse=True)
                 first = np.searchsorted(found["owner"], np.arange(high - low + 1))
-                row = {
-                    "batch": number, "doc": ids[low:high],
+                yield _rows(
+                    high - low, batch=np.full(high - low, number), doc=ids[low:high],
                     **{c: found[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups")},
-                    "first": first, "at": at, "times": found["times"],
-                    "pair": pair, "docs": np.bincount(at, minlength=len(pair)),
-                }
+                    at=(at, first), times=(found["times"], first),
+                )
+                starts = np.arange(0, len(pair), ENTRIES)
+                ends = np.append(starts, len(pair))
+                yield _rows(
+                    len(starts), batch=np.full(len(starts), number), first=starts,
+                    pair=(pair, ends), docs=(np.bincount(at, minlength=len(pair)), ends),
+                )
                 number += 1
-                yield pa.record_batch([_one(row[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
 
     picked = docs.select(F.col(key).cast("long").alias("doc"), text_of(text).alias("text"))
     return picked.mapInArrow(scan, STORED)
 
 
-SCHEMA = pa.schema(
-    [("batch", pa.int64())]
-    + [(c, pa.list_(pa.int64())) for c in ("doc", "n_a", "n_b", "n_groups", "n_links")]
-    + [("groups", pa.list_(pa.string()))]
-    + [(c, pa.list_(pa.int32())) for c in ("first", "at", "times")]
-    + [("pair", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32()))]
-)
-
-
-def _one(value, kind: pa.DataType) -> pa.Array:
-    """An array of one value; a list goes in without a detour over Python objects."""
-    if not pa.types.is_list(kind):
-        return pa.array([value], kind)
-    inner = pa.array(value, kind.value_type)
-    return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
-
-
 def pair_counts(batches: DataFrame, width: int) -> DataFrame:
     """``pair, n, best``: documents that hold the pair, and the highest such number of its A id."""
     each = batches.select(F.explode(F.arrays_zip("pair", "docs")).alias("p")).select("p.pair", "p.docs")
@@ -336,26 +353,43 @@ def align(
         width = Spelling(Pieces(file.read()).spelling).n
     stored = materialize(aligned(docs, a_file, b_file, key, text), "aligned")
     counts = materialize(pair_counts(stored, width), "pair-counts")
-    asked = stored.select("batch", F.posexplode("pair").alias("pos", "pair"))
-    told = (
-        asked.join(counts, "pair")
-        .groupBy("batch")
-        .agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"), F.collect_list("best").alias("best"))
+    asked = stored.select("batch", "first", F.posexplode("pair").alias("nth", "pair"))
+    told = asked.join(counts, "pair").select("batch", (F.col("first") + F.col("nth")).alias("pos"), "n", "best")
+    own = F.struct("doc", "n_a", "n_b", "n_groups", "n_links", "groups")
+    owned = stored.where("at is not null").select("batch", own.alias("own"), "at", "times")
+    # lists are empty, not null, beside counts: Arrow's size check passes over all nulls since the last list, at each row
+    none = F.array().cast("array<int>")
+    # the counts of a batch come at its even turn, its documents at the odd one
+    turns = told.withColumns({"turn": F.expr("2 * batch"), "at": none, "times": none}).unionByName(
+        owned.withColumn("turn", F.expr("2 * batch + 1")), allowMissingColumns=True
     )
-    whole = stored.drop("pair", "docs").join(told, "batch", "left")
+    whole = turns.repartition("batch").drop("batch").sortWithinPartitions("turn")
 
     def finish(batches):
         names = ["doc", "n_a", "n_b", "n_groups", "n_links"]
+        turn, heard, n, best = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(len(batch)):
-                row = {c: batch.column(c)[i].values for c in [*names, "groups", "first", "at", "times"]}
-                first, at = (row[c].to_numpy() for c in ("first", "at"))
-                times = row["times"].to_numpy().astype(np.int64)
-                n, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if batch.column("pos")[i].is_valid:
-                    order = np.argsort(batch.column("pos")[i].values.to_numpy())
-                    n = batch.column("n")[i].values.to_numpy()[order]
-                    best = np.asarray(batch.column("best")[i].values)[order].astype(np.int64)
+            turns = batch.column("turn").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(turns)) + 1), len(turns)]
+            for low, high in zip(edges, edges[1:]):
+                part = batch.slice(low, high - low)
+                if not len(part):
+                    continue
+                if turns[low] % 2 == 0:
+                    heard = heard if turn == turns[low] else []
+                    turn = turns[low]
+                    heard.append([np.asarray(part.column(c)) for c in ("pos", "n", "best")])
+                    continue
+                if turn != turns[low]:
+                    known = heard if turn == turns[low] - 1 else []  # no pairs: no links
+                    turn, heard = turns[low], []
+                    pos = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in known)])
+                    n, best = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
+                    for at, many, top in known:
+                        n[at], best[at] = many, top
+                row = dict(zip([*names, "groups"], part.column("own").flatten()))
+                at, times = (part.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "times"))
+                first = np.concatenate([[0], np.cumsum(part.column("at").value_lengths().to_numpy())])
                 total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
                 columns = [row[c] for c in names]
                 columns += [pa.array(total(best[at] * times)), pa.array(total(n[at] * times)), row["groups"]]
